@@ -52,7 +52,7 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 _KEYS_SQL = """
     SELECT id, list_sort(list_distinct(list_transform(
         regexp_extract_all(regexp_replace(regexp_replace(lower(regexp_replace(trim(src, E' \\t\\n\\r'), '([a-z])([A-Z])', '\\1_\\2', 'g')), '[ \\t\\n\\r_-]+', '_', 'g'), '([a-z])[:_]+([0-9])', '\\1_\\2', 'g'),
-            '(?:^|[^a-z0-9_])(?:(?:pref|dec|anc|ev|tokens)_)*([a-z]+(?:_[a-z]+)*_[0-9]+)', 1),
+            '(?:^|[^a-z0-9])(?:(?:pref|dec|anc|ev|tokens)_)*([a-z]+(?:_[a-z]+)*_[0-9]+)', 1),
         lambda m: concat(regexp_extract(m, '^(.*_)[0-9]+$', 1), lpad(ltrim(regexp_extract(m, '([0-9]+)$', 1), '0'), 8, '0'))))) AS ks
 """
 SQL["p1_found"] = f"""
