@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import splits
+from sievework.llm import packing, splits
+from sievework.llm import target_sample as ts
 from sievework.runtime import settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +68,97 @@ comp AS (SELECT n, min(r) AS c FROM reach GROUP BY n),
 grouped AS (SELECT id AS record_id, coalesce(c, ks[1]) AS group_id FROM keyed LEFT JOIN comp ON comp.n = ks[1])
 SELECT record_id, group_id FROM grouped QUALIFY count(*) OVER (PARTITION BY group_id) > 1
 """
+
+
+# ---------------------------------------------------------------- P2
+
+_FIELD = {"rsp_anchor_sft": "domain", "eval_prediction": "category"}
+
+
+def _plans(spark: SparkSession, d: str) -> dict[str, dict[str, list[tuple[float, str, float, int]]]]:
+    """population -> plan -> lines. The plan table is configuration; more than 100,000 lines are refused."""
+    rows = table(spark, d, "sample_target").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("sample_target has more than 100,000 lines")
+    out: dict[str, dict[str, list[tuple[float, str, float, int]]]] = {}
+    for r in rows:
+        out.setdefault(r.population, {}).setdefault(r.plan_name, []).append((r.sample_fraction, r.category, r.target_share, r.min_rows))
+    return out
+
+
+def _allocated(spark: SparkSession, d: str):
+    """For every plan: its name, keyed population, lines, number of records, sample size."""
+    for population, plans in sorted(_plans(spark, d).items()):
+        names = sorted({c for lines in plans.values() for _, c, _, _ in lines})
+        keyed = ts.prepared(ts.keyed_population(table(spark, d, population), "id", F.col(_FIELD[population]), names))
+        for name, lines in sorted(plans.items()):
+            yield name, keyed, *ts.plan_lines(keyed, lines)
+
+
+@query
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for name, _, lines, records, size in _allocated(spark, d):
+        for x in lines:
+            need = max(float(x.minimum), x.share * size)
+            rows.append((name, x.category, records, size, x.share, x.minimum, x.available, x.wanted, x.given, sum(x.taken_from.values()), x.given / size if size else None, x.available < round(need, 9)))
+    return spark.createDataFrame(rows, "plan_name string, category string, records long, sample_size long, target_share double, min_rows int, available long, wanted long, drawn long, passed_on long, actual_share double, not_met boolean")
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_report(spark, d).where("not_met").select("plan_name", "category")
+
+
+@query
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    parts = [ts.draw(keyed, {x.category: x.given for x in lines}, seed=42).select(F.lit(name).alias("plan_name"), "id", "category") for name, keyed, lines, _, _ in _allocated(spark, d)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+_NAME_SQL = "regexp_replace(lower(regexp_replace(trim(v, E' \\t\\n\\r'), '([a-z])([A-Z])', '\\1_\\2', 'g')), '[ \\t\\n\\r_-]+', '_', 'g')"
+SQL["p2_found"] = f"""
+WITH pop AS (SELECT 'rsp_anchor_sft' AS population, id, domain AS v FROM rsp_anchor_sft UNION ALL SELECT 'eval_prediction', id, category FROM eval_prediction),
+names AS (SELECT DISTINCT population, category FROM sample_target),
+vals AS (SELECT DISTINCT population, v, {_NAME_SQL} AS s FROM pop WHERE v IS NOT NULL),
+near AS (SELECT vals.population, v, n.category, levenshtein(s, n.category) AS dist FROM vals JOIN names n USING (population)),
+best AS (SELECT population, v, category FROM near WHERE dist <= 2 QUALIFY dist = min(dist) OVER (PARTITION BY population, v) AND count(*) OVER (PARTITION BY population, v, dist) = 1),
+ids AS (SELECT pop.population, id, min(category) AS category FROM pop LEFT JOIN best USING (population, v) GROUP BY ALL),
+sizes AS (SELECT population, count(*) AS n FROM ids GROUP BY ALL),
+counts AS (SELECT population, category, count(*) AS n FROM ids GROUP BY ALL)
+SELECT plan_name, t.category FROM sample_target t JOIN sizes USING (population) LEFT JOIN counts c ON c.population = t.population AND c.category = t.category
+WHERE coalesce(c.n, 0) < round(greatest(min_rows, target_share * floor(sample_fraction * sizes.n + 1e-9)), 9)
+"""
+
+
+# ---------------------------------------------------------------- P5
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(settle(packing.lengths(table(spark, d, "token_corpus")), "lengths"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("piece = 0 AND pieces > 1").select("problem_id")
+
+
+@query
+def p5_bins(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query
+def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return packing.sequences(table(spark, d, "token_corpus"), settle(_packed(spark, d), "packed"))
+
+
+@query
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(_packed(spark, d))
+
+
+SQL["p5_found"] = "SELECT DISTINCT problem_id FROM token_corpus WHERE len(tokens) > 8192"
