@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import packing, splits
+from sievework.llm import cutoff, packing, splits
 from sievework.llm import target_sample as ts
 from sievework.runtime import settle, table
 
@@ -162,3 +162,21 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["p5_found"] = "SELECT DISTINCT problem_id FROM token_corpus WHERE len(tokens) > 8192"
+
+
+# ---------------------------------------------------------------- P6
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.detect(table(spark, d, "eval_prediction"))[0].select("id", "field")
+
+
+@query
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.detect(table(spark, d, "eval_prediction"))[0]
+
+
+@query
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.report(table(spark, d, "eval_prediction"))
