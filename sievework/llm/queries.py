@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutoff, packing, splits
+from sievework.llm import cutoff, packing, pairs, splits
 from sievework.llm import target_sample as ts
 from sievework.runtime import settle, table
 
@@ -180,3 +180,21 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.report(table(spark, d, "eval_prediction"))
+
+
+# ---------------------------------------------------------------- P4
+
+
+def _pair_values(spark: SparkSession, d: str) -> DataFrame:
+    sft = pairs.stacked(table(spark, d, "rsp_decision_sft"), "id", "prompt", ["completion", "final_answer"], {"final_answer": "completion"})
+    return sft.union(pairs.stacked(table(spark, d, "rsp_decision_preferences"), "id", "prompt", ["chosen", "rejected"]))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.label(_pair_values(spark, d)).select("record_id", "field", "defect")
+
+
+@query
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.label(_pair_values(spark, d))
