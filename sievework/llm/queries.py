@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutoff, packing, pairs, splits
+from sievework.llm import cutoff, overlap, packing, pairs, splits
 from sievework.llm import target_sample as ts
 from sievework.runtime import settle, table
 
@@ -198,3 +198,37 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_labels(spark: SparkSession, d: str) -> DataFrame:
     return pairs.label(_pair_values(spark, d))
+
+
+# ---------------------------------------------------------------- P3
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sft = table(spark, d, "rsp_decision_sft").select(F.col("id").alias("key"), "prompt", "split")
+    problems = table(spark, d, "eval_prediction").where("problem_id IS NOT NULL").groupBy(F.col("problem_id").alias("key")).agg(F.min("prompt").alias("prompt"))
+    return sft.where("split = 'train'").drop("split"), sft.where("split IN ('validation', 'test')").drop("split").union(problems)
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(*_sides(spark, d))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    o = _overlaps(spark, d)
+    return o.select(F.least("train_key", "held_key").alias("key_a"), F.greatest("train_key", "held_key").alias("key_b")).distinct()
+
+
+@query
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d)
+
+
+@query
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per split, source and source_id (null for eval_prediction): evaluation records that also stand in training."""
+    hit = settle(_overlaps(spark, d).groupBy("held_key").agg(F.count(F.lit(1)).alias("pairs")), "hits")
+    sft = table(spark, d, "rsp_decision_sft").where("split IN ('validation', 'test')").select(F.col("id").alias("held_key"), "split", "source", "source_id")
+    ev = table(spark, d, "eval_prediction").where("problem_id IS NOT NULL").select(F.col("problem_id").alias("held_key"), F.lit("eval_prediction").alias("split"), "source", F.lit(None).cast("string").alias("source_id"))
+    rows = sft.union(ev).distinct().join(hit, "held_key", "left")
+    return rows.groupBy("split", "source", "source_id").agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
