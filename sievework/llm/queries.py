@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutoff, overlap, packing, pairs, splits
+from sievework.llm import cutoff, leakage, overlap, packing, pairs, splits
 from sievework.llm import target_sample as ts
 from sievework.runtime import settle, table
 
@@ -232,3 +232,25 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "eval_prediction").where("problem_id IS NOT NULL").select(F.col("problem_id").alias("held_key"), F.lit("eval_prediction").alias("split"), "source", F.lit(None).cast("string").alias("source_id"))
     rows = sft.union(ev).distinct().join(hit, "held_key", "left")
     return rows.groupBy("split", "source", "source_id").agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
+# ---------------------------------------------------------------- P7
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.search(table(spark, d, "documents"), table(spark, d, "heldout_item"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@query
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+@query
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_leaks(spark, d), table(spark, d, "heldout_item"))
