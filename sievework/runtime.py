@@ -6,7 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +16,25 @@ from pyspark.sql import functions as F
 _made: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once a session; a new executor fetches it from the driver."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        base = os.path.join(tempfile.mkdtemp(prefix="sievework-code-"), "sievework")
+        here = Path(__file__).resolve().parent
+        with zipfile.ZipFile(base + ".zip", "w") as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        spark.sparkContext.addPyFile(base + ".zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` (one file or a folder) under `sf_dir`."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
