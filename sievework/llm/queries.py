@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import cutoff, leakage, overlap, packing, pairs, splits
+from sievework.llm import abuse, cutoff, leakage, mixing, overlap, packing, pairs, splits
 from sievework.llm import target_sample as ts
 from sievework.runtime import settle, table
 
@@ -254,3 +254,48 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_leaks(spark, d), table(spark, d, "heldout_item"))
+
+
+# ---------------------------------------------------------------- P8
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", mixing.quality(F.col("text")).alias("weight"))
+    targets = {r.source: (r.target_share, r.max_repeats) for r in table(spark, d, "mix_target").limit(10_000).collect()}
+    return mixing.mix(mixing.token_counts(docs), targets)
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+@query
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+# ---------------------------------------------------------------- P9
+
+#: Documents of this score or more count as harmful.
+HARMFUL = 0.35
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score(docs, abuse.train(*abuse.labelled(docs, table(spark, d, "doc_label"))))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("score") >= HARMFUL).select("doc_id").distinct()
+
+
+@query
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+@query
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d), HARMFUL)
