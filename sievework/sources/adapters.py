@@ -63,7 +63,6 @@ def scale(alpha: Column, rank: Column) -> Column:
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, dtype, shape, offsets) of safetensors files: an 8-byte little-endian length, then a JSON object."""
     b = spark.read.format("binaryFile").load(path).select("path", "content")
-    n = F.conv(F.hex(F.reverse(F.substring("content", 1, 8))), 16, 10).cast("int")
     n = F.expr("cast(conv(concat(hex(substring(content,8,1)),hex(substring(content,7,1)),hex(substring(content,6,1)),hex(substring(content,5,1)),hex(substring(content,4,1)),hex(substring(content,3,1)),hex(substring(content,2,1)),hex(substring(content,1,1))),16,10) as int)")
     text = F.decode(F.substring(F.col("content"), F.lit(9), n), "UTF-8")
     e = b.select("path", F.explode(F.from_json(text, "map<string,struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>>")).alias("name", "t"))
