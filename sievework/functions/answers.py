@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ FALLBACK_PHRASES = (
     "multiply-1",
 )
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row; an expression that names it twice would compute it twice."""
+    return F.transform(F.array(value), body)[0]
+
+
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
@@ -45,8 +52,7 @@ def final_answer(c: Column) -> Column:
     The last non-empty box (else the last box), else the last announced answer by priority, else the
     last number, else the last non-blank line, else NOT_FOUND (also for null).
     """
-    boxes = boxed_segments(c)
-    box = F.coalesce(F.try_element_at(F.filter(boxes, lambda s: s != ""), F.lit(-1)), F.try_element_at(boxes, F.lit(-1)))
+    box = let(boxed_segments(c), lambda b: F.coalesce(F.try_element_at(F.filter(b, lambda s: s != ""), F.lit(-1)), F.try_element_at(b, F.lit(-1))))
     said = [strip(F.try_element_at(F.regexp_extract_all(c, F.lit(p), 1), F.lit(-1))) for p in ANNOUNCED]
     number = F.try_element_at(F.regexp_extract_all(c, F.lit(r"-?\d+(?:\.\d+)?"), 0), F.lit(-1))
     lines = F.filter(F.transform(F.split(c, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"), strip), lambda x: x != "")
@@ -83,12 +89,18 @@ def verified(gold: Column, predicted: Column, strip_tags: bool = True, rel: floa
     without case. A null side is taken as the text `None`.
     """
     prep = clean if strip_tags else strip
-    g, p = prep(F.coalesce(gold, F.lit("None"))), prep(F.coalesce(predicted, F.lit("None")))
-    a, b = number(g), number(p)
     inf = F.lit(float("inf"))
-    close = F.when(F.isnan(a) | F.isnan(b), False).when((F.abs(a) == inf) | (F.abs(b) == inf), a == b).otherwise(F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_)))
-    same = F.lower(g) == F.lower(p)
-    return F.when(g.rlike(r"^[01]+\z"), same).when(a.isNotNull() & b.isNotNull(), close).otherwise(same)
+
+    def numbers(x: Column) -> Column:
+        a, b = x.a, x.b
+        close = F.when(F.isnan(a) | F.isnan(b), False).when((F.abs(a) == inf) | (F.abs(b) == inf), a == b).otherwise(F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_)))
+        return F.when(a.isNotNull() & b.isNotNull(), close).otherwise(x.same)
+
+    def compare(x: Column) -> Column:
+        same = F.lower(x.g) == F.lower(x.p)
+        return F.when(x.g.rlike(r"^[01]+\z"), same).otherwise(let(F.named_struct(F.lit("a"), number(x.g), F.lit("b"), number(x.p), F.lit("same"), same), numbers))
+
+    return let(F.named_struct(F.lit("g"), prep(F.coalesce(gold, F.lit("None"))), F.lit("p"), prep(F.coalesce(predicted, F.lit("None")))), compare)
 
 
 def numeric_answer(c: Column) -> Column:
@@ -121,10 +133,15 @@ def reward(completion: Column, gold: Column, symbolic: Column, exact: float = 1.
     fallback phrase, and those that are an internal code (capitals, x, y, z or ?), lose more.
     """
     text = F.coalesce(completion, F.lit(""))
-    pred = final_answer(completion)
-    ok, boxed_ = verified(gold, pred), has_box(completion)
-    hit = symbolic & F.exists(F.array(*map(F.lit, FALLBACK_PHRASES)), lambda p: F.contains(F.lower(text), p))
-    inner = symbolic & ~ok & strip(pred).rlike(r"^[A-Zxyz?]{2,}\z")
-    total = F.when(ok, exact).otherwise(0.0) + F.when(boxed_, box).otherwise(no_box) + F.when(hit & ~ok, fallback).otherwise(0.0) + F.when(inner, code).otherwise(0.0)
     as_int = lambda x: x.cast("int")
-    return F.struct(pred.alias("prediction"), as_int(ok).alias("exact"), as_int(boxed_).alias("has_boxed"), as_int(hit).alias("fallback_hit"), as_int(inner).alias("internal_code"), total.alias("reward"))
+
+    def terms(x: Column) -> Column:
+        total = F.when(x.ok, exact).otherwise(0.0) + F.when(x.boxed, box).otherwise(no_box) + F.when(x.hit & ~x.ok, fallback).otherwise(0.0) + F.when(x.inner, code).otherwise(0.0)
+        return F.named_struct(F.lit("prediction"), x.pred, F.lit("exact"), as_int(x.ok), F.lit("has_boxed"), as_int(x.boxed), F.lit("fallback_hit"), as_int(x.hit), F.lit("internal_code"), as_int(x.inner), F.lit("reward"), total)
+
+    def judged(x: Column) -> Column:
+        hit = symbolic & F.exists(F.array(*map(F.lit, FALLBACK_PHRASES)), lambda p: F.contains(F.lower(text), p))
+        inner = symbolic & ~x.ok & strip(x.pred).rlike(r"^[A-Zxyz?]{2,}\z")
+        return let(F.named_struct(F.lit("pred"), x.pred, F.lit("ok"), x.ok, F.lit("boxed"), has_box(completion), F.lit("hit"), hit, F.lit("inner"), inner), terms)
+
+    return let(final_answer(completion), lambda p: let(F.named_struct(F.lit("pred"), p, F.lit("ok"), verified(gold, p)), judged))

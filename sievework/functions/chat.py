@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions.answers import boxed, boxed_simple, clean, final_answer, has_sign, numeric_answer, strip, verified_target
+from sievework.functions.answers import boxed, boxed_simple, clean, final_answer, has_sign, let, numeric_answer, strip, verified_target
 
 # Chat markers and the sentence that asks for a box.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -99,11 +99,14 @@ def guard_reply(reference: Column, answer: Column) -> Column:
 def teacher_reply(reference: Column, raw: Column, exact: Column, answer: Column, category: Column) -> Column:
     """struct(response, source, extracted): the first candidate that is verified, else the reply of last resort."""
     gold = strip(answer)
-    first = verified_target(reference, gold)
-    second = (F.coalesce(exact, F.lit(0)) == 1) & verified_target(raw, gold)
-    text = F.when(first, normal_response(reference)).when(second, normal_response(raw)).otherwise(plain_reply(answer, category))
-    source = F.when(first, "reference_response").when(second, "raw_output_exact").otherwise("fallback_boxed_answer")
-    return F.struct(text.alias("response"), source.alias("source"), final_answer(text).alias("extracted"))
+    sound = F.named_struct(F.lit("a"), verified_target(reference, gold), F.lit("b"), (F.coalesce(exact, F.lit(0)) == 1) & verified_target(raw, gold))
+
+    def chosen(x: Column) -> Column:
+        text = F.when(x.a, normal_response(reference)).when(x.b, normal_response(raw)).otherwise(plain_reply(answer, category))
+        source = F.when(x.a, "reference_response").when(x.b, "raw_output_exact").otherwise("fallback_boxed_answer")
+        return let(text, lambda t: F.named_struct(F.lit("response"), t, F.lit("source"), source, F.lit("extracted"), final_answer(t)))
+
+    return let(sound, chosen)
 
 
 def chat(system: Column | None, user: Column, assistant: Column | None = None, generate: bool = False) -> Column:
