@@ -54,7 +54,7 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 _ZERO = re.compile("[­​-‏⁠﻿]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-]){3,}[^\W\d_](?![^\W_])")
 _END = re.compile(r"(?<=[.!?。！？])[\"'”’)\]]*\s+|\n+|\s+/\s+|\s*[;:]\s+")
-_TOKEN = re.compile(r"[^\W\d_]+(?:[*'’@$!+|0-9]+[^\W\d_]+)*[@$0-9]{0,3}|[0-9@$]{1,2}[^\W\d_]{2,}(?:[@$0-9]+[^\W\d_]*)*|\d+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:[*'’@$!+|0-9]+[^\W\d_]+)*[@$0-9]{0,3}|[0-9@$]{1,2}[^\W\d_]+(?:[@$!0-9]+[^\W\d_]+)*[@$0-9]{0,3}|\d+")
 _MASKED = re.compile(r"[^\W\d_]+\*+[^\W\d_]+")
 
 

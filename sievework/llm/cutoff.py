@@ -50,11 +50,11 @@ def ending(c: Column) -> Column:
 
 
 def find_limits(spread: DataFrame, least: int = 5, band: float = 0.06) -> DataFrame:
-    """(source, measure, max_length, at_limit) for counted lengths(source, measure, length, n).
+    """(source, measure, max_length, at_limit) for counted lengths(source, measure, length, n, loose).
 
     A limit is the largest length of a measure if at least `least` values lie within its last 4
     units (2, if it is below 100) and these are filled more than 3 times as densely as the
-    `band` (a share of the length, 8 units at least) below. Of several measures that show one, the one with most
+    `band` (a share of the length, 8 units at least) below, and if a third of them or more end loosely. Of several measures that show one, the one with most
     values at its limit is kept (ties: order of MEASURES).
     """
     top = spread.groupBy("source", "measure").agg(F.max("length").alias("max_length"))
@@ -65,9 +65,10 @@ def find_limits(spread: DataFrame, least: int = 5, band: float = 0.06) -> DataFr
     got = x.groupBy("source", "measure", "max_length").agg(
         F.sum(F.when(gap < end, F.col("n")).otherwise(0)).alias("at_limit"),
         F.sum(F.when((gap >= end) & (gap < end + width), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(gap < end, F.col("loose")).otherwise(0)).alias("loose"),
     )
     rank = F.create_map(*[v for i, m in enumerate(MEASURES) for v in (F.lit(m), F.lit(-i))])
-    real = got.where((F.col("at_limit") >= least) & (F.col("at_limit") / F.when(F.col("max_length") < 100, 2).otherwise(4) > 3 * F.col("below") / width)).withColumn("order", F.struct("at_limit", rank[F.col("measure")]))
+    real = got.where((F.col("at_limit") >= least) & (F.col("loose") * 3 >= F.col("at_limit")) & (F.col("at_limit") / F.when(F.col("max_length") < 100, 2).otherwise(4) > 3 * F.col("below") / width)).withColumn("order", F.struct("at_limit", rank[F.col("measure")]))
     best = real.groupBy("source").agg(F.max_by(F.struct("measure", "max_length", "at_limit"), "order").alias("b"))
     return best.select("source", "b.measure", "b.max_length", "b.at_limit")
 
@@ -90,6 +91,7 @@ def measured(rows: DataFrame) -> DataFrame:
         F.rtrim("raw_output").rlike(BROKEN).alias("broken"),
         box.isNotNull().alias("has_box"),
         (box.isNotNull() & ((F.trim(tail) == "") | F.rtrim(tail).rlike(STOP))).alias("box_closed"),
+        (~F.coalesce(F.rtrim(raw).rlike(STOP), F.lit(False))).alias("no_stop"),
         ending(F.col("raw_output")).alias("end"),
         (box.startswith(F.col("prediction")) & (box != F.col("prediction")) & (F.trim("prediction") != "")).alias("pred_cut"),
     )
@@ -99,9 +101,9 @@ def measured(rows: DataFrame) -> DataFrame:
 
 
 def spread_of(m: DataFrame, lens: str) -> DataFrame:
-    """(source, measure, length, n) of the lengths in column `lens`."""
-    each = m.select("source", F.posexplode(lens).alias("i", "length")).where("length IS NOT NULL AND length > 0")
-    return each.groupBy("source", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("i") + 1).alias("measure"), "length").agg(F.count(F.lit(1)).alias("n"))
+    """(source, measure, length, n, loose) of the lengths in column `lens`; loose: the flag of that name, or a cut prediction."""
+    each = m.select("source", (F.col("loose") | F.col("pred_cut")).cast("int").alias("loose"), F.posexplode(lens).alias("i", "length")).where("length IS NOT NULL AND length > 0")
+    return each.groupBy("source", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("i") + 1).alias("measure"), "length").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("loose", F.lit(0))).alias("loose"))
 
 
 def whole_endings(m: DataFrame, share: float = 0.0005, least: int = 3) -> list[str]:
@@ -133,6 +135,9 @@ def detect(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     no cases. Complete replies without box or full stop are known by their ending.
     """
     m = settle(measured(rows), "measured")
+    often = whole_endings(m.withColumn("at_limit", F.lit(False)))
+    usual = F.coalesce(F.col("end").isin(often), F.lit(False)) if often else F.lit(False)
+    m = m.withColumn("loose", F.col("no_stop") & ~F.col("box_closed") & ~usual)
     raw_limits = settle(find_limits(spread_of(m, "raw_len")), "limits")
     pred_limits = find_limits(spread_of(m.where("pred_cut"), "pred_len"))
     index = F.create_map(*[v for i, x in enumerate(MEASURES) for v in (F.lit(x), F.lit(i))])
