@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -103,9 +103,11 @@ def task_of(field: Column, mapped: Column, default: str | None, row: Column) ->
 
 def indexed_first(index: DataFrame, files: DataFrame, key: str, pos: Sequence[str]) -> DataFrame:
     """Files in the order of the index, then the others by name; `place` orders them."""
+    from sievework.operators.order import numbered
+
     order = index.groupBy(key).agg(F.min(F.struct(*pos)).alias("_p"))
     j = files.join(order, key, "left")
-    return j.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("_p").asc_nulls_last(), key))).drop("_p")
+    return numbered(j, [F.col("_p").isNull(), "_p", key], "place").drop("_p")
 
 
 def mapping(m: Mapping[str, float]) -> Column:

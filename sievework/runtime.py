@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     cluster master that would be machine-local, so there it is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        given = set_.get()
     if given:
         return given
     if not spark.sparkContext.master.startswith("local"):

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from sievework.plans import catalog
+from sievework.plans import catalog, repair  # noqa: F401 - repair adds its queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
