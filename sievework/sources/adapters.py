@@ -129,3 +129,18 @@ def adapter_folder(root: str, weights: bool = True) -> str | None:
     if ok(base):
         return str(base)
     return next((str(p.parent) for p in sorted(base.rglob("adapter_config.json")) if ok(p.parent)), None)
+
+
+def write_tensors(tensors: Mapping[str, Sequence[Sequence[float]]], path: str) -> None:
+    """A safetensors file of float32 matrices, their names made plain: the 8-byte length, the JSON header, the data."""
+    import re
+    import struct
+
+    header, data = {}, b""
+    for name, rows in sorted(tensors.items()):
+        raw = b"".join(struct.pack(f"<{len(r)}f", *r) for r in rows)
+        key = re.sub(r"\.lora_([AB])\.(?:residual|default)\.weight", r".lora_\1.weight", name)
+        header[key] = {"dtype": "F32", "shape": [len(rows), len(rows[0]) if rows else 0], "data_offsets": [len(data), len(data) + len(raw)]}
+        data += raw
+    text = json.dumps(header).encode()
+    Path(path).write_bytes(len(text).to_bytes(8, "little") + text + data)

@@ -97,6 +97,12 @@ def test_archives(spark, tmp_path):
     assert IO.provenance(spark, str(d)).count() == 2
 
 
+def test_written_tensors_are_read_back(spark, tmp_path):
+    AD.write_tensors({"x.lora_A.default.weight": [[1.0, 2.0, 3.0]], "x.lora_B.default.weight": [[1.0], [2.0]]}, str(tmp_path / "a.safetensors"))
+    got = {r.name: (tuple(r.shape), tuple(r.offsets)) for r in AD.headers(spark, str(tmp_path / "a.safetensors")).collect()}
+    assert got == {"x.lora_A.weight": ((1, 3), (0, 12)), "x.lora_B.weight": ((2, 1), (12, 20))}
+
+
 def test_names_of_tensors(one):
     assert one(AD.plain_key(F.col("a")), "base_model.model.backbone.x.lora_A.default.weight") == "base_model.model.model.x.lora_A.weight"
     for name, want in (("lm_head", "lm_head"), ("a.self_attn.q_proj", "attention"), ("a.mamba.in_proj", "mamba_or_ssm"), ("a.experts.0.up_proj", "moe_or_expert"), ("a.mlp.up_proj", "ffn_or_mlp"), ("embed_tokens", "embedding"), ("norm", "other_linear")):
