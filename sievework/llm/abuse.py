@@ -79,7 +79,10 @@ def _word(w: str) -> str:
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence, undisguised and in lower case; numbers as 0. Null and blank give none."""
+    """Words of each sentence, undisguised and in lower case; numbers as 0. Null and blank give none.
+
+    Of more than 18 words overlapping windows of 14 are taken, as some texts have lost their full stops.
+    """
     if not isinstance(text, str) or not text:
         return []
     text = repaired(text)
@@ -95,7 +98,7 @@ def sentences(text: str | None) -> list[list[str]]:
     for s in _END.split(text):
         ws = [_word(w) for w in _TOKEN.findall(s)]
         if sum(w != "0" for w in ws) >= 2:
-            out.extend(ws[k : k + 40] for k in range(0, len(ws), 30)) if len(ws) > 40 else out.append(ws)
+            out.extend(ws[k : k + 14] for k in range(0, len(ws) - 8, 6)) if len(ws) > 18 else out.append(ws)
     return out
 
 
@@ -130,11 +133,17 @@ def grams(tokens: np.ndarray) -> np.ndarray:
     return np.unique(x & MASK).astype(np.int64)
 
 
+def share(features: np.ndarray) -> float:
+    """The value of each of a sentence's features. Those of fragments of under five words count as of one of five,
+    so that two or three words weigh less than a sentence."""
+    return 1 / max(14, len(features)) ** 0.5
+
+
 @dataclass
 class Ftrl:
     """FTRL-proximal logistic regression: per-coordinate rates, L1 for sparse weights, L2.
 
-    The features of a sentence have the value 1/sqrt(their number), so that all sentences weigh alike.
+    The features of a sentence have the value 1/sqrt(their number), so that all sentences weigh alike (see `share`).
     """
 
     alpha: float = 0.5
@@ -155,10 +164,10 @@ class Ftrl:
         return -z / ((self.beta + n**0.5) / self.alpha)
 
     def score(self, i: np.ndarray) -> float:
-        return 1 / (1 + np.exp(-np.clip(self.weights(i).sum() / len(i) ** 0.5 + self._bias(), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.weights(i).sum() * share(i) + self._bias(), -30, 30)))
 
     def learn(self, i: np.ndarray, y: float, weight: float) -> None:
-        w, b, x = self.weights(i), self._bias(), 1 / len(i) ** 0.5
+        w, b, x = self.weights(i), self._bias(), share(i)
         g = (1 / (1 + np.exp(-np.clip(w.sum() * x + b, -30, 30))) - y) * weight
         root, step = np.sqrt(self.n[i]), g * x
         self.z[i] += step - (np.sqrt(self.n[i] + step * step) - root) / self.alpha * w
@@ -195,7 +204,7 @@ def _unmask(ws: list[str], known: dict[int, list[str]]) -> list[str]:
     return out
 
 
-def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, epochs: int = 6, seed: int = 3) -> Model:
+def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, epochs: int = 4, seed: int = 3) -> Model:
     """The model of labelled documents.
 
     A harmful document's label belongs to some of its sentences. Candidates are those whose word
@@ -220,12 +229,22 @@ def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, ep
     bad = {s for s in seldom if s not in settled and strange(s)} | seeds
     fine = everything - bad - {s for s in often if s not in settled and s in seldom}
     rng = np.random.default_rng(seed)
+    plain: dict[tuple[str, ...], np.ndarray] = {}
 
     def fit(bad: set[tuple[str, ...]], fine: set[tuple[str, ...]], epochs: int) -> tuple[Ftrl, dict[int, list[str]], Callable[[tuple[str, ...]], np.ndarray]]:
         common, known = {w for s in fine for w in s}, {}
         for w in sorted({w for s in bad for w in s if len(w) > 3 and "*" not in w and w not in common}):
             known.setdefault(len(w), []).append(w)
-        code = lambda s: grams(np.array([memo[w] for w in _unmask(list(s), known)], dtype=np.uint64))
+
+        def code(s: tuple[str, ...]) -> np.ndarray:
+            masked = any("*" in w for w in s)
+            if masked or s not in plain:
+                x = grams(np.array([memo[w] for w in _unmask(list(s), known)], dtype=np.uint64))
+                if masked:
+                    return x
+                plain[s] = x.astype(np.int32)
+            return plain[s]
+
         rows = [(code(s), 1.0, min(8.0, max(1.0, 0.1 * len(fine) / max(1, len(bad))))) for s in sorted(bad)]
         rows += [(code(s), 0.0, 1.0 + math.log2(max(1, often[s]))) for s in sorted(fine)]
         model = Ftrl()
@@ -271,7 +290,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 best = -30.0
                 for s in sentences(text):
                     at = grams(np.array([memo[x] for x in _unmask(s, m.known)], dtype=np.uint64))
-                    best = max(best, float(w[at].sum()) / len(at) ** 0.5 + m.bias)
+                    best = max(best, float(w[at].sum()) * share(at) + m.bias)
                 scores[k] = 0.0 if best <= -30 else 1 / (1 + np.exp(-min(best, 30.0)))
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": scores})
 

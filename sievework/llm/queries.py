@@ -278,7 +278,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- P9
 
 #: Documents of this score or more count as harmful.
-HARMFUL = 0.35
+HARMFUL = 0.46
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
