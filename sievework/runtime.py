@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 _made: list[tuple[SparkSession, str]] = []
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where their files are fewer than these, for work that is heavy per row.
+
+    A file may be one row group, which a scan cannot share out. A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 _shipped: set[str] = set()
 
 
