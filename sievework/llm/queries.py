@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import abuse, cutoff, leakage, mixing, overlap, packing, pairs, splits
 from sievework.llm import target_sample as ts
-from sievework.runtime import settle, table
+from sievework.runtime import settle, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,25 +169,25 @@ SQL["p5_found"] = "SELECT DISTINCT problem_id FROM token_corpus WHERE len(tokens
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff.detect(table(spark, d, "eval_prediction"))[0].select("id", "field")
+    return cutoff.detect(spread(table(spark, d, "eval_prediction").select("id", "source", "raw_output", "prediction")))[0].select("id", "field")
 
 
 @query
 def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff.detect(table(spark, d, "eval_prediction"))[0]
+    return cutoff.detect(spread(table(spark, d, "eval_prediction").select("id", "source", "raw_output", "prediction")))[0]
 
 
 @query
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff.report(table(spark, d, "eval_prediction"))
+    return cutoff.report(spread(table(spark, d, "eval_prediction").select("id", "source", "raw_output", "prediction")))
 
 
 # ---------------------------------------------------------------- P4
 
 
 def _pair_values(spark: SparkSession, d: str) -> DataFrame:
-    sft = pairs.stacked(table(spark, d, "rsp_decision_sft"), "id", "prompt", ["completion", "final_answer"], {"final_answer": "completion"})
-    return sft.union(pairs.stacked(table(spark, d, "rsp_decision_preferences"), "id", "prompt", ["chosen", "rejected"]))
+    sft = pairs.stacked(spread(table(spark, d, "rsp_decision_sft").select("id", "prompt", "completion", "final_answer")), "id", "prompt", ["completion", "final_answer"], {"final_answer": "completion"})
+    return sft.union(pairs.stacked(spread(table(spark, d, "rsp_decision_preferences").select("id", "prompt", "chosen", "rejected")), "id", "prompt", ["chosen", "rejected"]))
 
 
 @query
@@ -204,7 +204,7 @@ def p4_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sft = table(spark, d, "rsp_decision_sft").select(F.col("id").alias("key"), "prompt", "split")
+    sft = spread(table(spark, d, "rsp_decision_sft").select(F.col("id").alias("key"), "prompt", "split"))
     problems = table(spark, d, "eval_prediction").where("problem_id IS NOT NULL").groupBy(F.col("problem_id").alias("key")).agg(F.min("prompt").alias("prompt"))
     return sft.where("split = 'train'").drop("split"), sft.where("split IN ('validation', 'test')").drop("split").union(problems)
 
@@ -238,7 +238,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.search(table(spark, d, "documents"), table(spark, d, "heldout_item"))
+    return leakage.search(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "heldout_item"))
 
 
 @query
@@ -262,7 +262,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text", "source", mixing.quality(F.col("text")).alias("weight"))
     targets = {r.source: (r.target_share, r.max_repeats) for r in table(spark, d, "mix_target").limit(10_000).collect()}
-    return mixing.mix(mixing.token_counts(docs), targets)
+    return mixing.mix(mixing.token_counts(spread(docs)), targets)
 
 
 @query
@@ -282,8 +282,8 @@ HARMFUL = 0.46
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return abuse.score(docs, abuse.train(*abuse.labelled(docs, table(spark, d, "doc_label"))))
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return abuse.score(spread(docs), abuse.train(*abuse.labelled(docs, table(spark, d, "doc_label"))))
 
 
 @query
