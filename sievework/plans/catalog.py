@@ -40,9 +40,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 _PRED = ["id", "problem_id", "category", "prompt", "answer", "reference_response", "raw_output", "prediction", "exact_match", "source"]
 
 
-def preds(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions, each id once (its first delivery)."""
-    return O.first_wins(table(spark, d, "eval_prediction"), "id", ["ingested_at"], _PRED)
+def preds(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Predictions, each id once (its first delivery); only `cols` are read if given."""
+    return O.first_wins(table(spark, d, "eval_prediction"), "id", ["ingested_at"], list(dict.fromkeys(["id", *cols])) if cols else _PRED)
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -51,9 +51,10 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("mask", T.padded(F.col("mask"), F.size("tokens"), 0.0))
 
 
-def family(spark: SparkSession, d: str, name: str) -> DataFrame:
+def family(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
+    """Rows of a family, each id once; only `cols` are read if given."""
     df = table(spark, d, name)
-    return O.first_wins(df, "id", ["ingested_at"], [c for c in df.columns if c != "ingested_at"])
+    return O.first_wins(df, "id", ["ingested_at"], list(dict.fromkeys(["id", *cols])) if cols else [c for c in df.columns if c != "ingested_at"])
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
@@ -92,27 +93,27 @@ def _ok(gold: str, pred: str) -> str:
 
 @query(f"SELECT id, pred AS prediction, CAST({_ok('answer', 'pred')} AS INTEGER) AS exact FROM (SELECT id, answer, {_clean(_fa('raw_output'))} AS pred FROM {_P})")
 def scored_predictions(spark, d):
-    p = preds(spark, d).select("id", "answer", A.clean(A.final_answer(F.col("raw_output"))).alias("prediction"))
+    p = preds(spark, d, "answer", "raw_output").select("id", "answer", A.clean(A.final_answer(F.col("raw_output"))).alias("prediction"))
     return p.select("id", "prediction", A.verified(F.col("answer"), F.col("prediction")).cast("int").alias("exact"))
 
 
 @query(f"""SELECT category, count(*) AS examples, CAST(sum(exact) AS DOUBLE) / greatest(1, count(*)) AS accuracy, CAST(grouping(category) AS BIGINT) AS level
 FROM (SELECT category, CAST({_ok('answer', _clean(_fa('raw_output')))} AS INTEGER) AS exact FROM {_P}) GROUP BY GROUPING SETS ((category), ())""")
 def accuracy_summary(spark, d):
-    p = preds(spark, d).withColumn("exact", A.verified(F.col("answer"), A.clean(A.final_answer(F.col("raw_output")))).cast("int"))
+    p = preds(spark, d, "category", "answer", "raw_output").withColumn("exact", A.verified(F.col("answer"), A.clean(A.final_answer(F.col("raw_output")))).cast("int"))
     return M.accuracy(p, "exact", ["category"]).withColumn("level", F.col("level").cast("bigint"))
 
 
 @query(f"SELECT id, {_fa('reference_response')} AS final_answer, coalesce({_TRIM('regexp_extract_all(reference_response, $$[\\]boxed[{]([^}]*)[}]$$, 1)[-1]')}, '') AS simple, coalesce(contains(reference_response, '\\boxed{{'), false) AS boxed FROM {_P}".replace("[\\]boxed", "\\\\boxed"))
 def extracted_references(spark, d):
     r = F.col("reference_response")
-    return preds(spark, d).select("id", A.final_answer(r).alias("final_answer"), A.boxed_simple(r).alias("simple"), A.has_box(r).alias("boxed"))
+    return preds(spark, d, "reference_response").select("id", A.final_answer(r).alias("final_answer"), A.boxed_simple(r).alias("simple"), A.has_box(r).alias("boxed"))
 
 
 @query(f"SELECT id, coalesce(regexp_full_match({_TRIM('answer')}, '[-+]?[0-9]+([.][0-9]+)?'), false) AS is_numeric, coalesce(regexp_matches(answer, '[^\\p{{L}}\\p{{N}}]'), false) AS has_sign, '\\boxed{{' || answer || '}}' AS boxed FROM {_P}")
 def answer_shapes(spark, d):
     a = F.col("answer")
-    return preds(spark, d).select("id", A.numeric_answer(a).alias("is_numeric"), A.has_sign(a).alias("has_sign"), A.boxed(a).alias("boxed"))
+    return preds(spark, d, "answer").select("id", A.numeric_answer(a).alias("is_numeric"), A.has_sign(a).alias("has_sign"), A.boxed(a).alias("boxed"))
 
 
 _SYM = "category LIKE 'equation_numeric%'"
@@ -124,7 +125,7 @@ FROM (SELECT *, CAST(sym AND exact = 0 AND regexp_full_match(trim(pred), '[A-Zxy
 
 def _rewards(spark, d):
     sym = F.coalesce(F.col("category").startswith("equation_numeric"), F.lit(False))
-    return preds(spark, d).select("id", "problem_id", A.reward(F.col("raw_output"), F.col("answer"), sym).alias("r")).select("id", "problem_id", "r.prediction", "r.exact", "r.has_boxed", "r.internal_code", F.round("r.reward", 6).alias("reward"))
+    return preds(spark, d, "problem_id", "category", "answer", "raw_output").select("id", "problem_id", A.reward(F.col("raw_output"), F.col("answer"), sym).alias("r")).select("id", "problem_id", "r.prediction", "r.exact", "r.has_boxed", "r.internal_code", F.round("r.reward", 6).alias("reward"))
 
 
 @query(_REWARD)
@@ -152,7 +153,7 @@ def informative_rollouts(spark, d):
 
 @query(f"""SELECT id, source, CAST(sum(e) OVER w AS DOUBLE) / count(*) OVER w AS running_accuracy FROM (SELECT id, source, coalesce(exact_match, 0) AS e FROM {_P}) WINDOW w AS (ORDER BY id ROWS UNBOUNDED PRECEDING)""")
 def running_accuracy(spark, d):
-    p = preds(spark, d).select("id", "source", F.coalesce("exact_match", F.lit(0)).alias("e"), F.lit(1).alias("one"))
+    p = preds(spark, d, "source", "exact_match").select("id", "source", F.coalesce("exact_match", F.lit(0)).alias("e"), F.lit(1).alias("one"))
     both = O.running(p, ["id"], F.col("e"), "correct")
     both = O.running(both, ["id"], F.lit(1), "seen")
     return both.select("id", "source", (F.col("correct") / F.col("seen")).alias("running_accuracy"))
@@ -160,7 +161,7 @@ def running_accuracy(spark, d):
 
 @query(f"SELECT source, CASE WHEN regexp_full_match(trim(answer), '[-+]?[0-9]+([.][0-9]+)?') THEN 'numeric' ELSE 'symbolic' END AS answer_type, count(*) AS examples, avg(coalesce(exact_match, 0)) AS accuracy, CAST(grouping(source) * 2 + grouping(CASE WHEN regexp_full_match(trim(answer), '[-+]?[0-9]+([.][0-9]+)?') THEN 'numeric' ELSE 'symbolic' END) AS BIGINT) AS level FROM {_P} GROUP BY CUBE (1, 2)")
 def accuracy_slices(spark, d):
-    p = preds(spark, d).withColumn("answer_type", F.when(A.numeric_answer(F.col("answer")), "numeric").otherwise("symbolic"))
+    p = preds(spark, d, "source", "answer", "exact_match").withColumn("answer_type", F.when(A.numeric_answer(F.col("answer")), "numeric").otherwise("symbolic"))
     return M.slices(p, "exact_match", ["source", "answer_type"]).withColumn("level", F.col("level").cast("bigint"))
 
 
@@ -168,7 +169,7 @@ def accuracy_slices(spark, d):
 b AS (SELECT problem_id, max(coalesce(exact_match, 0)) AS o2, min(coalesce(prediction, '')) AS p2 FROM {_P} WHERE source = 'run_basalt' AND problem_id IS NOT NULL GROUP BY 1)
 SELECT count(*) FILTER (WHERE o1 = 0 AND o2 = 1) AS fixed, count(*) FILTER (WHERE o1 = 1 AND o2 = 0) AS regressed, count(*) FILTER (WHERE p1 <> p2) AS changed, count(*) FILTER (WHERE p1 IS NULL OR p2 IS NULL) AS one_sided FROM a FULL JOIN b USING (problem_id)""")
 def run_comparison(spark, d):
-    p = preds(spark, d).where("problem_id IS NOT NULL")
+    p = preds(spark, d, "problem_id", "source", "exact_match", "prediction").where("problem_id IS NOT NULL")
     one = lambda s: p.where(F.col("source") == s).groupBy("problem_id").agg(F.max(F.coalesce("exact_match", F.lit(0))).alias("o"), F.min(F.coalesce("prediction", F.lit(""))).alias("p"))
     return J.two_runs(one("run_amber"), one("run_basalt"), "problem_id", "o", "p")
 
@@ -179,14 +180,14 @@ def run_comparison(spark, d):
 @query(f"""SELECT id, CASE WHEN contains(prompt, 'Please put your final answer inside') THEN prompt ELSE prompt || E'\\nPlease put your final answer inside `\\\\boxed{{}}`. For example: `\\\\boxed{{your answer}}`' END AS asked,
  E'<|im_start|>user\\n' || coalesce(prompt, '') || E'<|im_end|>\\n<|im_start|>assistant\\n' AS chat FROM {_P} WHERE prompt IS NOT NULL""")
 def chat_prompts(spark, d):
-    p = preds(spark, d).where("prompt IS NOT NULL")
+    p = preds(spark, d, "prompt").where("prompt IS NOT NULL")
     return p.select("id", C.with_box_request(F.col("prompt")).alias("asked"), C.chat(None, F.col("prompt"), generate=True).alias("chat"))
 
 
 @query(f"SELECT id, {_TRIM('prompt')} AS user_prompt, {_TRIM('raw_output')} || E'<|im_end|>' AS assistant FROM {_P} WHERE prompt IS NOT NULL AND raw_output IS NOT NULL AND NOT contains(prompt, '<|im') AND NOT contains(raw_output, '<|im')")
 def chat_round_trip(spark, d):
     """A chat is rendered and taken apart again."""
-    p = preds(spark, d).where("prompt IS NOT NULL AND raw_output IS NOT NULL AND NOT contains(prompt, '<|im') AND NOT contains(raw_output, '<|im')")
+    p = preds(spark, d, "prompt", "raw_output").where("prompt IS NOT NULL AND raw_output IS NOT NULL AND NOT contains(prompt, '<|im') AND NOT contains(raw_output, '<|im')")
     whole = p.select("id", C.chat(F.lit("system line"), F.col("prompt"), F.col("raw_output")).alias("t"))
     return whole.select("id", C.user_prompt(F.col("t")).alias("user_prompt"), F.regexp_replace(C.assistant_text(F.col("t")), r"\s*<\|im_end\|>$", C.END).alias("assistant")).withColumn("assistant", F.concat(A.strip(F.regexp_replace("assistant", r"<\|im_end\|>$", "")), F.lit(C.END)))
 
@@ -198,7 +199,7 @@ _BOX_SQL = lambda c: "coalesce(" + _TRIM(f"regexp_extract_all({c}, '\\\\boxed\\{
 @query(f"""SELECT id, CASE WHEN {_BOX_SQL('body')} <> gold THEN rtrim(regexp_replace(body, '\\\\boxed\\{{[^}}]*\\}}', '', 'g'), E' \\t\\n\\r') || chr(10) || '\\boxed{{' || gold || '}}' ELSE body END || '<|im_end|>' AS completion
 FROM (SELECT id, rtrim(replace(coalesce(completion, ''), '<|im_end|>', ''), E' \\t\\n\\r') AS body, {_TRIM('final_answer')} AS gold FROM {_SFT} WHERE final_answer IS NOT NULL)""")
 def normal_completions(spark, d):
-    s = family(spark, d, "rsp_decision_sft").where("final_answer IS NOT NULL")
+    s = family(spark, d, "rsp_decision_sft", "completion", "final_answer").where("final_answer IS NOT NULL")
     return s.select("id", C.normal_completion(F.col("completion"), F.col("final_answer")).alias("completion"))
 
 
@@ -212,14 +213,14 @@ WHEN category = 'equation_numeric' THEN concat_ws(chr(10), 'Use the middle input
  E'S4: APPLY target\\nresult = ' || w || E'\\n</think>\\n\\\\boxed{{' || w || '}}<|im_end|>' AS rejected
 FROM (SELECT *, CASE WHEN {_TRIM("coalesce(prediction, '')")} = '' THEN 'NOT_FOUND' ELSE {_TRIM('prediction')} END AS w FROM {_P}) WHERE answer IS NOT NULL AND coalesce(exact_match, 0) = 0""")
 def correction_replies(spark, d):
-    p = preds(spark, d).where("answer IS NOT NULL AND coalesce(exact_match, 0) = 0")
+    p = preds(spark, d, "category", "answer", "prediction", "exact_match").where("answer IS NOT NULL AND coalesce(exact_match, 0) = 0")
     return p.select("id", C.correction_reply(F.col("answer"), F.col("category")).alias("correction"), C.rejected_reply(F.col("prediction")).alias("rejected"))
 
 
 @query(f"""SELECT id, CASE WHEN v1 THEN 'reference_response' WHEN v2 THEN 'raw_output_exact' ELSE 'fallback_boxed_answer' END AS source, CASE WHEN v1 THEN {_fa('reference_response')} WHEN v2 THEN {_fa('raw_output')} ELSE {_TRIM('answer')} END AS extracted
 FROM (SELECT *, coalesce(reference_response <> '', false) AND ({_ok('answer', _fa('reference_response'))}) AS v1, coalesce(exact_match, 0) = 1 AND coalesce(raw_output <> '', false) AND ({_ok('answer', _fa('raw_output'))}) AS v2 FROM {_P} WHERE answer IS NOT NULL)""")
 def teacher_targets(spark, d):
-    p = preds(spark, d).where("answer IS NOT NULL")
+    p = preds(spark, d, "category", "answer", "reference_response", "raw_output", "exact_match").where("answer IS NOT NULL")
     t = C.teacher_reply(F.col("reference_response"), F.col("raw_output"), F.col("exact_match"), F.col("answer"), F.col("category"))
     return p.select("id", t.alias("t")).select("id", "t.source", "t.extracted")
 
@@ -260,7 +261,7 @@ _WORDS = "list_transform(list_filter(regexp_split_to_array(coalesce({c}, ''), '\
 @query(f"""SELECT id, CAST(len(p) + len(c) AS INTEGER) AS total_tokens, CAST(len(c) AS INTEGER) AS loss_tokens, (p || c)[1:256] AS input_ids, (list_transform(p, lambda x: -100::BIGINT) || c)[1:256] AS labels
 FROM (SELECT id, {_WORDS.replace('{c}', 'prompt')} AS p, {_WORDS.replace('{c}', 'completion')} AS c FROM {_SFT} WHERE prompt IS NOT NULL)""")
 def sft_records(spark, d):
-    s = family(spark, d, "rsp_decision_sft").where("prompt IS NOT NULL").select("id", T.word_tokens(F.col("prompt")).alias("p"), T.word_tokens(F.col("completion")).alias("c"))
+    s = family(spark, d, "rsp_decision_sft", "prompt", "completion").where("prompt IS NOT NULL").select("id", T.word_tokens(F.col("prompt")).alias("p"), T.word_tokens(F.col("completion")).alias("c"))
     return s.select("id", (F.size("p") + F.size("c")).alias("total_tokens"), F.size("c").alias("loss_tokens"), T.sft_record(F.col("p"), F.col("c"), 256).alias("r")).select("id", "total_tokens", "loss_tokens", "r.input_ids", "r.labels")
 
 
@@ -268,7 +269,7 @@ def sft_records(spark, d):
 FROM (SELECT id, {_WORDS.replace('{c}', 'prompt')} AS p, {_WORDS.replace('{c}', 'chosen')} AS c, {_WORDS.replace('{c}', 'rejected')} AS r FROM {_F('rsp_decision_preferences')}) WHERE chosen_loss > 0 AND rejected_loss > 0""")
 def preference_records(spark, d):
     w = T.word_tokens
-    p = family(spark, d, "rsp_decision_preferences").select("id", w(F.col("prompt")).alias("p"), w(F.col("chosen")).alias("c"), w(F.col("rejected")).alias("r"))
+    p = family(spark, d, "rsp_decision_preferences", "prompt", "chosen", "rejected").select("id", w(F.col("prompt")).alias("p"), w(F.col("chosen")).alias("c"), w(F.col("rejected")).alias("r"))
     both = p.select("id", T.sft_record(F.col("p"), F.col("c"), 256)["loss_tokens"].alias("chosen_loss"), T.sft_record(F.col("p"), F.col("r"), 256)["loss_tokens"].alias("rejected_loss"))
     return both.where("chosen_loss > 0 AND rejected_loss > 0")
 
@@ -317,7 +318,7 @@ def loss_means(spark, d):
 def preference_losses(spark, d):
     """The margin objective, with lengths in place of log-probabilities."""
     n = lambda c: F.length(F.coalesce(c, F.lit(""))) / 100.0
-    return family(spark, d, "rsp_decision_preferences").select("id", F.round(M.margin_loss(n("chosen"), n("rejected"), 2.0, 0.5), 9).alias("loss"))
+    return family(spark, d, "rsp_decision_preferences", "chosen", "rejected").select("id", F.round(M.margin_loss(n("chosen"), n("rejected"), 2.0, 0.5), 9).alias("loss"))
 
 
 # ------------------------------------------------------------------ order, samples, sets
@@ -325,12 +326,12 @@ def preference_losses(spark, d):
 
 @query(f"SELECT id, category FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', '42', id)), id) AS rn FROM {_P}) WHERE rn <= 20")
 def sampled_per_category(spark, d):
-    return O.sample_per_group(preds(spark, d).select("id", "category"), "category", "id", 20, 42).select("id", "category")
+    return O.sample_per_group(preds(spark, d, "category").select("id", "category"), "category", "id", 20, 42).select("id", "category")
 
 
 @query(f"SELECT category, list_sort(list(id)) AS ids FROM (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS rn FROM {_P}) WHERE rn <= 5 GROUP BY category")
 def first_ids(spark, d):
-    f = O.top_per_group(preds(spark, d).select("id", "category"), ["category"], ["id"], 5)
+    f = O.top_per_group(preds(spark, d, "category").select("id", "category"), ["category"], ["id"], 5)
     return f.groupBy("category").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
@@ -360,23 +361,23 @@ def corpus_with_metadata(spark, d):
 @query(f"SELECT id, problem_id FROM {_P} p WHERE problem_id IN (SELECT source_id FROM rsp_decision_sft) AND coalesce(exact_match, 0) = 0")
 def wrong_known_problems(spark, d):
     known = table(spark, d, "rsp_decision_sft").select(F.col("source_id").alias("problem_id")).where("problem_id IS NOT NULL")
-    return preds(spark, d).where("coalesce(exact_match, 0) = 0").join(known.distinct(), "problem_id", "left_semi").select("id", "problem_id")
+    return preds(spark, d, "problem_id", "exact_match").where("coalesce(exact_match, 0) = 0").join(known.distinct(), "problem_id", "left_semi").select("id", "problem_id")
 
 
 @query(f"SELECT id FROM {_P} p WHERE problem_id IS NOT NULL AND problem_id NOT IN (SELECT source_id FROM rsp_decision_sft WHERE source_id IS NOT NULL)")
 def unseen_problems(spark, d):
     used = table(spark, d, "rsp_decision_sft").select(F.col("source_id").alias("problem_id")).where("problem_id IS NOT NULL")
-    return J.unused(preds(spark, d).where("problem_id IS NOT NULL"), used, "problem_id").select("id")
+    return J.unused(preds(spark, d, "problem_id").where("problem_id IS NOT NULL"), used, "problem_id").select("id")
 
 
 @query(f"SELECT id, CAST(unnest(range(6)) AS INTEGER) AS repeat_index FROM {_P} WHERE category = 'equation_numeric' AND coalesce(exact_match, 0) = 0")
 def oversampled_wrong(spark, d):
-    return O.repeated(preds(spark, d).where("category = 'equation_numeric' AND coalesce(exact_match, 0) = 0").select("id"), 6).select("id", "repeat_index")
+    return O.repeated(preds(spark, d, "category", "exact_match").where("category = 'equation_numeric' AND coalesce(exact_match, 0) = 0").select("id"), 6).select("id", "repeat_index")
 
 
 @query(f"SELECT id, CAST((row_number() OVER (ORDER BY id) - 1) // 64 AS BIGINT) AS batch_id, CAST((row_number() OVER (ORDER BY id) - 1) % 64 AS BIGINT) AS batch_pos FROM {_P}")
 def batches(spark, d):
-    return O.batched(preds(spark, d).select("id"), ["id"], 64).select("id", "batch_id", F.col("batch_pos").cast("bigint").alias("batch_pos"))
+    return O.batched(preds(spark, d, "id").select("id"), ["id"], 64).select("id", "batch_id", F.col("batch_pos").cast("bigint").alias("batch_pos"))
 
 
 @query(f"SELECT problem_id FROM (SELECT problem_id, n, sum(n) OVER (ORDER BY problem_id ROWS UNBOUNDED PRECEDING) - n AS before FROM (SELECT problem_id, len(list_filter(mask, lambda x: x > 0)) AS n FROM {_T})) WHERE before < 50000")
@@ -395,7 +396,7 @@ def interleaved_replay(spark, d):
 
 @query(f"""SELECT category, batch_id, id FROM (SELECT s.category, s.slot // 4 AS batch_id, r.id FROM (SELECT category, n, unnest(range(12)) AS slot FROM (SELECT category, count(*) AS n FROM {_P} WHERE category IS NOT NULL GROUP BY 1)) s JOIN (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS at FROM {_P}) r ON r.category = s.category AND r.at = s.slot % s.n)""")
 def cyclic_batches(spark, d):
-    return O.cyclic(preds(spark, d).where("category IS NOT NULL").select("id", "category"), "category", ["id"], 4, 3).select("category", "batch_id", "id")
+    return O.cyclic(preds(spark, d, "category").where("category IS NOT NULL").select("id", "category"), "category", ["id"], 4, 3).select("category", "batch_id", "id")
 
 
 @query("SELECT s AS step, list_transform(range(3), lambda i: ['bit', 'cipher', 'gravity', 'rest'][CAST((s + i) % 4 AS INTEGER) + 1]) AS active FROM (SELECT unnest(range(12)) AS s)")
@@ -423,7 +424,7 @@ def guarded_mix(spark, d):
     quota["other_category_replay"] = max(0, total - sum(quota.values()))
     eq = F.col("category") == "equation_numeric"
     group = F.when(eq & (F.coalesce("exact_match", F.lit(0)) == 0), "targeted_equation_fix").when(eq, "equation_replay_correct").when(F.col("category") == "bit_manipulation", "bit_replay").otherwise("other_category_replay")
-    ranked = O.top_per_group(preds(spark, d).select("id", group.alias("mix_group")).withColumn("k", O.draw_key(42, "id")), ["mix_group"], ["k", "id"], max(quota.values()))
+    ranked = O.top_per_group(preds(spark, d, "category", "exact_match").select("id", group.alias("mix_group")).withColumn("k", O.draw_key(42, "id")), ["mix_group"], ["k", "id"], max(quota.values()))
     return ranked.where(F.col("rn") <= J.mapping(quota)[F.col("mix_group")]).select("id", "mix_group")
 
 
@@ -443,12 +444,12 @@ def family_union(spark, d):
 
 @query(f"SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM {_P} GROUP BY 1")
 def source_counts(spark, d):
-    return M.counts(preds(spark, d), "source")
+    return M.counts(preds(spark, d, "source"), "source")
 
 
 @query(f"SELECT category, count(*) AS n, min(id) AS first_pos FROM {_P} GROUP BY 1")
 def most_common_categories(spark, d):
-    return M.most_common(preds(spark, d), "category", "id")
+    return M.most_common(preds(spark, d, "category"), "category", "id")
 
 
 @query("SELECT count(DISTINCT problem_id) AS problems, list_sort(list(DISTINCT segment) FILTER (WHERE segment IS NOT NULL)) AS segments FROM token_index")
@@ -464,7 +465,7 @@ def weight_grid(spark, d):
 @query("SELECT id, sample_weight * CASE domain WHEN 'equation_numeric' THEN 1.2 WHEN 'bit_manipulation' THEN 1.1 ELSE 1.0 END AS weight FROM " + _F("rsp_anchor_sft") + " WHERE sample_weight IS NOT NULL")
 def domain_weights(spark, d):
     m = J.mapping({"equation_numeric": 1.2, "bit_manipulation": 1.1})
-    return family(spark, d, "rsp_anchor_sft").where("sample_weight IS NOT NULL").select("id", (F.col("sample_weight") * F.coalesce(F.try_element_at(m, F.col("domain")), F.lit(1.0))).alias("weight"))
+    return family(spark, d, "rsp_anchor_sft", "domain", "sample_weight").where("sample_weight IS NOT NULL").select("id", (F.col("sample_weight") * F.coalesce(F.try_element_at(m, F.col("domain")), F.lit(1.0))).alias("weight"))
 
 
 @query("SELECT e.id AS step, 0.001 * (1 - e.id / 10.0) AS rate FROM (SELECT unnest(range(10)) AS id) e")
@@ -494,30 +495,30 @@ def contract_violations(spark, d):
 
 @query(f"SELECT id, {_BOX_SQL('completion')} AS boxed, coalesce(regexp_matches(completion, '\\\\boxed\\{{[^}}]*$'), false) AS malformed, {_BOX_SQL('completion')} <> {_TRIM(chr(99) + 'oalesce(final_answer, $$$$)')} AS mismatch FROM {_SFT} WHERE completion IS NOT NULL")
 def terminal_boxes(spark, d):
-    s = family(spark, d, "rsp_decision_sft").where("completion IS NOT NULL")
+    s = family(spark, d, "rsp_decision_sft", "completion", "final_answer").where("completion IS NOT NULL")
     return G.answer_mismatch(s).select("id", "boxed", "malformed", "mismatch")
 
 
 @query(f"SELECT id FROM {_F('rsp_decision_preferences')} WHERE chosen IS NOT NULL AND rejected IS NOT NULL AND {_BOX_SQL('chosen')} = {_BOX_SQL('rejected')}")
 def undecided_preferences(spark, d):
-    return G.same_outcome(family(spark, d, "rsp_decision_preferences").where("chosen IS NOT NULL AND rejected IS NOT NULL")).select("id")
+    return G.same_outcome(family(spark, d, "rsp_decision_preferences", "chosen", "rejected").where("chosen IS NOT NULL AND rejected IS NOT NULL")).select("id")
 
 
 @query(f"SELECT id FROM {_SFT} WHERE prompt IS NOT NULL AND split = 'train' AND sha256(regexp_replace(lower(trim(prompt)), '\\s+', ' ', 'g')) IN (SELECT sha256(regexp_replace(lower(trim(prompt)), '\\s+', ' ', 'g')) FROM eval_prediction WHERE prompt IS NOT NULL)")
 def eval_prompt_overlap(spark, d):
-    return J.prompt_overlap(family(spark, d, "rsp_decision_sft").where("prompt IS NOT NULL AND split = 'train'"), table(spark, d, "eval_prediction").where("prompt IS NOT NULL")).select("id")
+    return J.prompt_overlap(family(spark, d, "rsp_decision_sft", "prompt", "split").where("prompt IS NOT NULL AND split = 'train'"), table(spark, d, "eval_prediction").where("prompt IS NOT NULL")).select("id")
 
 
 @query()
 def gate_replays(spark, d):
     """Selected gates against the prompts' examples; tested against plain Python."""
-    bits = family(spark, d, "rsp_decision_sft").where("lower(domain) = 'bit_manipulation' AND prompt IS NOT NULL AND decision_points IS NOT NULL")
+    bits = family(spark, d, "rsp_decision_sft", "domain", "prompt", "decision_points").where("lower(domain) = 'bit_manipulation' AND prompt IS NOT NULL AND decision_points IS NOT NULL")
     return G.gate_replay(bits)
 
 
 @query(f"SELECT count(*) AS findings, list_sort(list(id)[1:0]) || (SELECT list(id ORDER BY id) FROM (SELECT id FROM {_SFT} WHERE completion IS NULL ORDER BY id LIMIT 50)) AS first, count(*) = 0 AS passed FROM {_SFT} WHERE completion IS NULL")
 def verdicts(spark, d):
-    return G.verdict(family(spark, d, "rsp_decision_sft").where("completion IS NULL").select("id"), "id")
+    return G.verdict(family(spark, d, "rsp_decision_sft", "completion").where("completion IS NULL").select("id"), "id")
 
 
 # ------------------------------------------------------------------ tensors
@@ -616,14 +617,14 @@ def renamed_tensors(spark, d):
 
 @query(f"SELECT coalesce(source, 'unknown') || ': ' || count(*) AS line FROM {_P} GROUP BY source")
 def report_text(spark, d):
-    return IO.report_lines(preds(spark, d), "source")
+    return IO.report_lines(preds(spark, d, "source"), "source")
 
 
 @query(f"SELECT CAST(sum(n) AS BIGINT) AS rows, map_from_entries(list(struct_pack(k := k, v := n) ORDER BY k)) AS counts, 'eval' AS name FROM (SELECT coalesce(category, 'unknown') AS k, count(*) AS n FROM {_P} GROUP BY 1)")
 def manifest(spark, d):
-    return IO.manifest(preds(spark, d), "category", name="eval")
+    return IO.manifest(preds(spark, d, "category"), "category", name="eval")
 
 
 @query(f"SELECT id, sha256(prompt) AS digest, CAST(length(prompt) AS INTEGER) AS chars FROM {_P} WHERE prompt IS NOT NULL")
 def content_digests(spark, d):
-    return preds(spark, d).where("prompt IS NOT NULL").select("id", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("chars"))
+    return preds(spark, d, "prompt").where("prompt IS NOT NULL").select("id", F.sha2("prompt", 256).alias("digest"), F.length("prompt").alias("chars"))

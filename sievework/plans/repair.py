@@ -108,7 +108,7 @@ def preference_pairs(spark, d):
 SELECT id, repeat_index FROM f UNION ALL SELECT id, 0 FROM (SELECT id FROM s WHERE id NOT IN (SELECT id FROM f) ORDER BY md5(concat_ws('|', '5', id)), id LIMIT (SELECT greatest(360 - count(*), 0) FROM f))""")
 def branch_targets(spark, d):
     """Symbolic tasks: the wrong ones three times first, filled up to 360 rows by a draw of the others."""
-    s = settle(preds(spark, d).where(~A.numeric_answer(F.col("answer"))).select("id", "category", "exact_match"), "symbolic")
+    s = settle(preds(spark, d, "category", "answer", "exact_match").where(~A.numeric_answer(F.col("answer"))).select("id", "category", "exact_match"), "symbolic")
     forced = O.repeated(wrong(s).where(F.col("category").startswith("equation")), 3, 1)
     fill = O.draw(J.unused(s, forced, "id"), "id", max(0, 360 - forced.count()), 5).withColumn("repeat_index", F.lit(0))
     return forced.select("id", "repeat_index").union(fill.select("id", "repeat_index"))
@@ -152,7 +152,7 @@ def item_order(spark, d):
 @query("SELECT id, coalesce(nullif(f, ''), CASE d WHEN 'bit_manipulation' THEN 'bit' END, 'rest') AS task, 'row_' || lpad(CAST(rn - 1 AS VARCHAR), 6, '0') AS fallback_id FROM (SELECT id, coalesce(domain, '') AS d, '' AS f, row_number() OVER (ORDER BY id) AS rn FROM " + _F("rsp_anchor_sft") + ")")
 def task_labels(spark, d):
     """A row's task from its field, a map or a default, and the id that a row without one would get."""
-    a = O.numbered(family(spark, d, "rsp_anchor_sft").select("id", "domain"), ["id"])
+    a = O.numbered(family(spark, d, "rsp_anchor_sft", "domain"), ["id"])
     mapped = F.try_element_at(F.create_map(F.lit("bit_manipulation"), F.lit("bit")), F.coalesce("domain", F.lit("")))
     return a.select("id", J.task_of(F.lit(""), mapped, "rest", F.col("id")).alias("task"), F.format_string("row_%06d", F.col("rn") - 1).alias("fallback_id"))
 
@@ -161,7 +161,7 @@ def task_labels(spark, d):
 def preferred_values(spark, d):
     """Each record's value from the first of two tables that knows it; unknown records are dropped."""
     t = table(spark, d, "rsp_anchor_sft")
-    ids = family(spark, d, "rsp_anchor_sft").select("id").distinct()
+    ids = family(spark, d, "rsp_anchor_sft", "id")
     first = t.where("source IS NOT NULL").groupBy("id").agg(F.max("final_answer").alias("v")).where("v IS NOT NULL")
     second = t.groupBy("id").agg(F.max("domain").alias("v")).where("v IS NOT NULL")
     return J.by_priority(ids, "id", [first, second], "v")
@@ -169,8 +169,10 @@ def preferred_values(spark, d):
 
 @query(f"SELECT id FROM {_P} WHERE category = 'equation_numeric' AND starts_with(problem_id, 'equation_numeric_0085') AND length(prompt) <= 260")
 def category_prefix_rows(spark, d):
-    """Rows of a category and id prefix whose prompt keeps a length limit; the filters reach the scan."""
-    return preds(spark, d).where("category = 'equation_numeric' AND startswith(problem_id, 'equation_numeric_0085') AND length(prompt) <= 260").select("id")
+    """Rows of a category and id prefix whose prompt keeps a length limit. All deliveries of an id are alike, so
+    the filters stand before the de-duplication and reach the scan."""
+    rows = table(spark, d, "eval_prediction").where("category = 'equation_numeric' AND startswith(problem_id, 'equation_numeric_0085') AND length(prompt) <= 260")
+    return rows.where("id <> ''").select("id").distinct()
 
 
 @query("SELECT side, domain FROM (SELECT 'left' AS side, domain FROM (SELECT DISTINCT domain FROM rsp_anchor_sft WHERE domain IS NOT NULL EXCEPT SELECT domain FROM rsp_decision_sft) ORDER BY domain LIMIT 10) UNION ALL SELECT side, domain FROM (SELECT 'right' AS side, domain FROM (SELECT DISTINCT domain FROM rsp_decision_sft WHERE domain IS NOT NULL EXCEPT SELECT domain FROM rsp_anchor_sft) ORDER BY domain LIMIT 10)")
