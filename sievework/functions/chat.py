@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from sievework.functions.answers import boxed, boxed_simple, clean, final_answer, has_sign, let, numeric_answer, strip, verified_target
 
-# Chat markers and the sentence that asks for a box.
+# Chat markers, the sentences of templated replies, and the one that asks for a box.
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = START + "assistant"
+APPLY = "S4: APPLY target"
+PLAIN_EQUATION = "Select the branch from the operator character in the input.\nCopy literal punctuation symbols exactly into the output.\n"
+PLAIN_BIT = "Resolve each bit position independently, then output the 8-bit string.\n"
+HINT_BIT = "This is a bit-column task. Resolve every output bit with the verified column or gate, do not fall back to decimal numbers, and always finish with an 8-bit boxed answer.\n"
+HINT_OPERATOR = "Use the middle input character at position 2 as the operator branch."
+HINT_LITERAL = "Keep literal punctuation symbols exactly; do not replace them with internal labels."
+HINT_SYMBOLIC = "This target answer is symbolic, so do not use a numeric fallback."
+HINT_BACKTICK = "The backtick suffix is part of the final answer and must be preserved."
+HINT_SIGNS = "Do not drop, normalize, or translate punctuation in the boxed answer."
 BOX_REQUEST = "\nPlease put your final answer inside `\\boxed{}`. For example: `\\boxed{your answer}`"
 
 
@@ -55,9 +64,7 @@ def normal_response(text: Column) -> Column:
 def plain_reply(answer: Column, category: Column) -> Column:
     """The reply of last resort: a sentence on the category and the boxed answer."""
     line = F.concat(F.lit("Final answer: "), boxed(strip(answer)))
-    eq = "Select the branch from the operator character in the input.\nCopy literal punctuation symbols exactly into the output.\n"
-    bit = "Resolve each bit position independently, then output the 8-bit string.\n"
-    return F.concat(F.when(category == "equation_numeric", eq).when(category == "bit_manipulation", bit).otherwise(""), line, F.lit(END))
+    return F.concat(F.when(category == "equation_numeric", PLAIN_EQUATION).when(category == "bit_manipulation", PLAIN_BIT).otherwise(""), line, F.lit(END))
 
 
 def correction_reply(answer: Column, category: Column) -> Column:
@@ -66,19 +73,18 @@ def correction_reply(answer: Column, category: Column) -> Column:
     line = F.concat(F.lit("Final answer: "), boxed(a))
     hints = F.concat_ws(
         "\n",
-        F.lit("Use the middle input character at position 2 as the operator branch."),
-        F.lit("Keep literal punctuation symbols exactly; do not replace them with internal labels."),
-        F.when(~numeric_answer(a), "This target answer is symbolic, so do not use a numeric fallback."),
-        F.when(a.contains("`"), "The backtick suffix is part of the final answer and must be preserved."),
-        F.when(has_sign(a), "Do not drop, normalize, or translate punctuation in the boxed answer."),
+        F.lit(HINT_OPERATOR),
+        F.lit(HINT_LITERAL),
+        F.when(~numeric_answer(a), HINT_SYMBOLIC),
+        F.when(a.contains("`"), HINT_BACKTICK),
+        F.when(has_sign(a), HINT_SIGNS),
         line,
     )
-    bit = "This is a bit-column task. Resolve every output bit with the verified column or gate, do not fall back to decimal numbers, and always finish with an 8-bit boxed answer.\n"
-    return F.when(category == "bit_manipulation", F.concat(F.lit(bit), line)).when(category == "equation_numeric", hints).otherwise(line)
+    return F.when(category == "bit_manipulation", F.concat(F.lit(HINT_BIT), line)).when(category == "equation_numeric", hints).otherwise(line)
 
 
 def _applied(x: Column) -> Column:
-    return F.concat(F.lit("S4: APPLY target\nresult = "), x, F.lit("\n</think>\n"), boxed(x), F.lit(END))
+    return F.concat(F.lit(APPLY + "\nresult = "), x, F.lit("\n</think>\n"), boxed(x), F.lit(END))
 
 
 def rejected_reply(prediction: Column) -> Column:
