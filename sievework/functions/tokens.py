@@ -8,6 +8,8 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions.answers import let
+
 IGNORED = -100
 
 
@@ -94,6 +96,19 @@ def tail_weights(tokens: Column, before: Column, weight: float) -> Column:
     return F.transform(tokens, lambda _, i: F.when(i >= before, F.lit(float(weight))).otherwise(1.0))
 
 
+def boxed_tail(text: Column, tokenizer: Tokenizer, weight: float) -> Column:
+    """Weights of the text's tokens: 1.0, and `weight` from the last boxed marker on. The text before the marker is
+    tokenised again to find its position; without a marker all weigh 1.0."""
+    mark = "\\boxed{"
+    before = F.left(text, F.length(text) - F.length(F.substring_index(text, mark, -1)) - len(mark))
+    n = F.size(tokenizer(text))
+    # repeated, not transformed: within a lambda the text would be tokenised once a token
+    return let(
+        F.struct(n.alias("n"), F.when(text.contains(mark), F.least(n, F.size(tokenizer(before)))).otherwise(n).alias("k")),
+        lambda x: F.concat(F.array_repeat(F.lit(1.0), x.k), F.array_repeat(F.lit(float(weight)), x.n - x.k)),
+    )
+
+
 def policy_weights(prompt: Column, completion: Column, most_loss: int, longest: int) -> Column:
     """Weights of a policy example's targets: 1 on the first `most_loss` completion tokens, cut to `longest`."""
     both = F.concat(prompt, head(completion, most_loss))

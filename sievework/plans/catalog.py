@@ -280,6 +280,26 @@ def token_search(spark, d):
     return t.select("problem_id", T.find(F.col("tokens"), F.slice("tokens", 2, 3)).alias("at"), T.tail_weights(F.col("tokens"), F.lit(5), 3.0).alias("tail"))
 
 
+@query(f"""WITH t AS (SELECT problem_id, tokens, tokens[2:4] AS w FROM {_T}), p AS (SELECT problem_id, w, unnest(tokens) AS x, unnest(range(len(tokens))) AS i FROM t),
+n AS (SELECT problem_id, w, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY problem_id ORDER BY i)),
+f AS (SELECT problem_id, min(i) AS i FROM n WHERE len(w) > 0 AND x = w[1] AND (len(w) < 2 OR y = w[2]) AND (len(w) < 3 OR z = w[3]) GROUP BY 1)
+SELECT problem_id, CAST(coalesce(f.i, -1) AS INTEGER) AS at FROM t LEFT JOIN f USING (problem_id)""")
+def token_positions(spark, d):
+    """token_search over every item: where its second to fourth token first stand. Items of two or three tokens look
+    for the ones they have behind the first; those of fewer have nothing to look for and give -1."""
+    return corpus(spark, d).select("problem_id", T.find(F.col("tokens"), F.slice("tokens", 2, 3)).alias("at"))
+
+
+_HEAD = r"regexp_extract(completion, '(?s)^(.*)\\boxed\{', 1)"
+
+
+@query(f"""SELECT id, list_transform(range(n), lambda i: CASE WHEN boxed AND i >= k THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS weights
+FROM (SELECT id, coalesce(contains(completion, '\\boxed{{'), false) AS boxed, len({_WORDS.replace('{c}', 'completion')}) AS n, len({_WORDS.replace('{c}', _HEAD)}) AS k FROM {_SFT})""")
+def boxed_tail_weights(spark, d):
+    """Token weights of every completion: 3 from its last boxed marker on, 1 before it or without one."""
+    return family(spark, d, "rsp_decision_sft", "completion").select("id", T.boxed_tail(F.col("completion"), T.word_tokens, 3.0).alias("weights"))
+
+
 @query(f"""SELECT problem_id, batch_id, list_transform(range(1, CAST(ceil(m / 8.0) * 8 AS BIGINT) + 1), lambda i: coalesce(tokens[i], 0)) AS tokens FROM (SELECT problem_id, batch_id, tokens, max(len(tokens)) OVER (PARTITION BY batch_id) AS m FROM (SELECT problem_id, tokens, CAST((row_number() OVER (ORDER BY problem_id) - 1) // 16 AS BIGINT) AS batch_id FROM {_T}))""")
 def padded_batches(spark, d):
     b = O.batched(corpus(spark, d).select("problem_id", "tokens"), ["problem_id"], 16)
