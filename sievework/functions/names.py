@@ -37,3 +37,8 @@ def canonical(c: Column, names: Sequence[str], distance: int = 2) -> Column:
     )
     only = (F.size(near) == 1) | (F.try_element_at(near, F.lit(1)).d < F.try_element_at(near, F.lit(2)).d)
     return F.when(s.isin(known), s).when(s.isNotNull() & only, F.try_element_at(near, F.lit(1)).n)
+
+
+def folded(c: Column, names: Sequence[str]) -> Column:
+    """A label for grouping: the canonical name, else the folded spelling as it is, `unknown` for null and blank."""
+    return F.coalesce(canonical(c, names), snake(c), F.lit("unknown"))

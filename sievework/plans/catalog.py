@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import answers as A
 from sievework.functions import chat as C
 from sievework.functions import tokens as T
+from sievework.functions.names import folded
 from sievework.operators import gates as G
 from sievework.operators import joins as J
 from sievework.operators import linalg as L
@@ -88,6 +89,17 @@ def _ok(gold: str, pred: str) -> str:
     return f"CASE WHEN regexp_full_match({g}, '[01]+') THEN lower({g}) = lower({p}) WHEN regexp_full_match({g}, {num}) AND regexp_full_match({p}, {num}) THEN abs({a} - {b}) <= greatest(0.01 * greatest(abs({a}), abs({b})), 0.00001) ELSE lower({g}) = lower({p}) END"
 
 
+_BLANK = r"\s\x{00A0}\x{200B}\x{FEFF}"
+
+
+def _folded(c: str) -> str:
+    """SQL of names.folded over the domains."""
+    known = f"[{', '.join(repr(x) for x in G.DOMAINS)}]"
+    snake = f"nullif(regexp_replace(lower(regexp_replace(regexp_replace({c}, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g'), '([a-z])([A-Z])', '\\1_\\2', 'g')), '[\\s\\x{{00A0}}_-]+', '_', 'g'), '')"
+    near = f"list_sort(list_filter(list_transform({known}, lambda n: struct_pack(d := levenshtein({snake}, n), n := n)), lambda x: x.d <= 2))"
+    return f"coalesce(CASE WHEN list_contains({known}, {snake}) THEN {snake} WHEN len({near}) = 1 OR {near}[1].d < {near}[2].d THEN {near}[1].n END, {snake}, 'unknown')"
+
+
 # ------------------------------------------------------------------ answers and scores
 
 

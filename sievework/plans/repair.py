@@ -6,16 +6,17 @@ by seeded hash, so each set is the same on any cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import answers as A
 from sievework.functions import chat as C
 from sievework.functions import tokens as T
+from sievework.functions.names import folded
 from sievework.operators import gates as G
 from sievework.operators import joins as J
 from sievework.operators import order as O
-from sievework.plans.catalog import _F, _FAM, _P, _T, _TRIM, _ok, _fa, corpus, family, preds, query
+from sievework.plans.catalog import _F, _FAM, _P, _T, _TRIM, _folded, _ok, _fa, corpus, family, preds, query
 from sievework.runtime import settle, table
 
 _W = "coalesce(exact_match, 0) = 0"
@@ -175,6 +176,39 @@ def category_prefix_rows(spark, d):
     return rows.where("id <> ''").select("id").distinct()
 
 
+def matching(rows: DataFrame, *predicates: Column) -> DataFrame:
+    """The rows that meet every predicate of the caller (category, id prefix, prompt length, ...); an error if none does."""
+    for p in predicates:
+        rows = rows.where(p)
+    if rows.isEmpty():
+        raise ValueError(f"no rows where {' and '.join(map(str, predicates))}")
+    return rows
+
+
+def only_category(rows: DataFrame, category: str) -> DataFrame:
+    """The rows; an error that names the categories, folded, which are not the one wanted, or if there are no rows."""
+    found = {r.c for r in rows.select(folded(F.col("category"), G.DOMAINS).alias("c")).distinct().collect()}
+    if not found:
+        raise ValueError(f"no rows of category {category}")
+    if found != {category}:
+        raise ValueError(f"categories other than {category}: {sorted(found - {category})}")
+    return rows
+
+
+def category_rows(p: DataFrame, category: str) -> DataFrame:
+    """All rows of a category in any spelling, numbered by id."""
+    rows = only_category(matching(p, folded(F.col("category"), G.DOMAINS) == category), category)
+    return O.numbered(rows, ["id"], "place")
+
+
+@query(f"SELECT id, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS place, pred AS prediction, CAST({_ok('answer', 'pred')} AS INTEGER) AS exact FROM (SELECT id, answer, {_TRIM(f"regexp_replace({_fa('raw_output')}, '<\\|[^>]+?\\|>', '', 'g')")} AS pred FROM {_P} WHERE {_folded('category')} = 'equation_numeric')")
+def whole_category(spark, d):
+    """Evaluation of a whole category: every prediction of it in order of id, none sampled, with its score."""
+    rows = category_rows(settle(preds(spark, d, "category", "answer", "raw_output"), "predictions"), "equation_numeric")
+    r = rows.select("id", "place", "answer", A.clean(A.final_answer(F.col("raw_output"))).alias("prediction"))
+    return r.select("id", "place", "prediction", A.verified(F.col("answer"), F.col("prediction")).cast("int").alias("exact"))
+
+
 @query("SELECT side, domain FROM (SELECT 'left' AS side, domain FROM (SELECT DISTINCT domain FROM rsp_anchor_sft WHERE domain IS NOT NULL EXCEPT SELECT domain FROM rsp_decision_sft) ORDER BY domain LIMIT 10) UNION ALL SELECT side, domain FROM (SELECT 'right' AS side, domain FROM (SELECT DISTINCT domain FROM rsp_decision_sft WHERE domain IS NOT NULL EXCEPT SELECT domain FROM rsp_anchor_sft) ORDER BY domain LIMIT 10)")
 def domain_differences(spark, d):
     a, b = (table(spark, d, t).select("domain").where("domain IS NOT NULL") for t in ("rsp_anchor_sft", "rsp_decision_sft"))

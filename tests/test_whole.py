@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import tokens as T
@@ -46,3 +47,34 @@ def test_tail_begins_at_the_last_boxed_marker(spark, tmp_path):
         return [3.0 if 0 <= at and i >= len(text[:at].split()) else 1.0 for i in range(len(words))]
 
     assert {r["id"]: r["weights"] for r in got} == {k: weights(v) for k, v in texts.items()}
+
+
+_EVAL = "id string, problem_id string, category string, prompt string, answer string, raw_output string, exact_match int"
+
+
+def ev(i, category, problem="x", right=1, prompt="p" * 900):
+    return (i, problem, category, prompt, "7", "\\boxed{7}" if right else "\\boxed{8}", right)
+
+
+def test_whole_category_in_any_spelling(spark, tmp_path):
+    rows = [ev("e3", "equation_numeric"), ev("e1", "Equation Numeric", right=0), ev("e2", "eqution_numeric"), ev("e4", "EquationNumeric "), ev("s", "equation_numeric_symbolic"), ev("b", "bit_manipulation"), ev("n", None)]
+    got = run(spark, tmp_path, "whole_category", eval_prediction=(rows, _EVAL))
+    assert sorted((r["place"], r["id"], r["exact"]) for r in got) == [(1, "e1", 0), (2, "e2", 1), (3, "e3", 1), (4, "e4", 1)]
+
+
+def test_empty_and_foreign_categories_are_errors(spark, tmp_path):
+    with pytest.raises(ValueError, match="no rows where"):
+        run(spark, tmp_path, "whole_category", eval_prediction=([ev("b", "cipher")], _EVAL))
+    p = spark.createDataFrame([ev("a", "cipher"), ev("b", "Gravity")], _EVAL)
+    with pytest.raises(ValueError, match="gravity"):
+        repair.only_category(p, "cipher")
+    with pytest.raises(ValueError, match="no rows"):
+        repair.only_category(p.limit(0), "cipher")
+
+
+def test_predicates_of_the_caller(spark):
+    p = spark.createDataFrame([ev("a", "cipher", "c_1", prompt="short"), ev("b", "cipher", "c_2"), ev("c", "gravity", "c_1")], _EVAL)
+    got = repair.matching(p, F.col("category") == "cipher", F.col("problem_id").startswith("c_"), F.length("prompt") <= 10)
+    assert [r["id"] for r in got.collect()] == ["a"]
+    with pytest.raises(ValueError):
+        repair.matching(p, F.length("prompt") <= 1)
