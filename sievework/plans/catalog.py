@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from sievework.operators import joins as J
 from sievework.operators import linalg as L
 from sievework.operators import metrics as M
 from sievework.operators import order as O
-from sievework.runtime import table
+from sievework.runtime import settle, table
 from sievework.sources import adapters as AD
 from sievework.sources import io as IO
 
@@ -460,6 +460,46 @@ def guarded_mix(spark, d):
     return ranked.where(F.col("rn") <= J.mapping(quota)[F.col("mix_group")]).select("id", "mix_group")
 
 
+# Fixed value: problems that the bit replay always holds.
+ANCHORS = ("hk_3302f383", "hk_c095f799-p0")
+
+
+def replay_mix(p: DataFrame, total: int, anchors: Sequence[str], seed: int) -> DataFrame:
+    """(id, mix_group) of predictions: `total` rows by rounded shares, the remainder in equal parts per other category.
+
+    The bit replay begins with the anchor problems in their order, one row each. `total` <= 0 keeps all rows. A group
+    with fewer rows than its share gives all it has.
+    """
+    c = p.select("id", "problem_id", folded(F.col("category"), G.DOMAINS).alias("category"), (F.coalesce("exact_match", F.lit(0)) == 0).alias("bad"))
+    c = settle(c, "mix")
+    eq, bit = c.where("category = 'equation_numeric'"), c.where("category = 'bit_manipulation'")
+    hard, right, other = eq.where("bad"), eq.where("NOT bad"), c.where("category NOT IN ('equation_numeric', 'bit_manipulation')")
+    pos = F.array_position(F.array(*[F.lit(a) for a in anchors]).cast("array<string>"), F.col("problem_id"))
+    forced = bit.where(pos > 0).groupBy("problem_id").agg(F.min("id").alias("id")).select("id", pos.alias("pos"))
+    if total > 0:
+        n_hard, n_right, n_bit = round(total * 0.5), round(total * 0.2), round(total * 0.2)
+        hard, right = O.draw(hard, "id", n_hard, seed), O.draw(right, "id", n_right, seed)
+        bit = O.draw_forced(bit, "id", n_bit, seed, forced)
+        other = O.stratified(other, "category", "id", max(0, total - n_hard - n_right - n_bit), seed)
+    parts = {"targeted_equation_fix": hard, "equation_replay_correct": right, "other_category_replay": other}
+    out = bit.select("id", F.when(pos > 0, "bit_replay_anchor").otherwise("bit_replay").alias("mix_group"))
+    for name, df in parts.items():
+        out = out.unionByName(df.select("id", F.lit(name).alias("mix_group")))
+    return out
+
+
+@query(f"""WITH c AS (SELECT id, problem_id, coalesce(exact_match, 0) = 0 AS bad, md5(concat_ws('|', '42', id)) AS k, {_folded('category')} AS category FROM {_P}),
+f AS (SELECT min(id) AS id, problem_id FROM c WHERE category = 'bit_manipulation' AND problem_id IN {ANCHORS} GROUP BY 2),
+o AS (SELECT *, dense_rank() OVER (ORDER BY category) AS g, row_number() OVER (PARTITION BY category ORDER BY k, id) AS rn FROM c WHERE category NOT IN ('equation_numeric', 'bit_manipulation')), n AS (SELECT max(g) AS n FROM o)
+SELECT id, 'targeted_equation_fix' AS mix_group FROM (SELECT * FROM c WHERE category = 'equation_numeric' AND bad ORDER BY k, id LIMIT 64)
+UNION ALL SELECT id, 'equation_replay_correct' FROM (SELECT * FROM c WHERE category = 'equation_numeric' AND NOT bad ORDER BY k, id LIMIT 26)
+UNION ALL SELECT id, CASE WHEN problem_id IN {ANCHORS} THEN 'bit_replay_anchor' ELSE 'bit_replay' END FROM (SELECT * FROM c WHERE category = 'bit_manipulation' ORDER BY coalesce(list_position({list(ANCHORS)}, CASE WHEN id IN (SELECT id FROM f) THEN problem_id END), 99), k, id LIMIT 26)
+UNION ALL SELECT id, 'other_category_replay' FROM o, n WHERE rn <= 12 // n + CAST(g <= 12 % n AS INTEGER)""")
+def equal_parts_mix(spark, d):
+    """128 rows: hard equations, right equations, bit tasks with their anchors, and the other categories in equal parts."""
+    return replay_mix(preds(spark, d, "problem_id", "category", "exact_match"), 128, ANCHORS, 42)
+
+
 @query("SELECT DISTINCT category FROM token_corpus WHERE category IS NOT NULL EXCEPT SELECT DISTINCT domain FROM rsp_anchor_sft WHERE domain IS NOT NULL UNION ALL SELECT 'all:' || count(DISTINCT category) FROM token_corpus")
 def category_sets(spark, d):
     c = table(spark, d, "token_corpus").select("category")

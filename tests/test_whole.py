@@ -78,3 +78,20 @@ def test_predicates_of_the_caller(spark):
     assert [r["id"] for r in got.collect()] == ["a"]
     with pytest.raises(ValueError):
         repair.matching(p, F.length("prompt") <= 1)
+
+
+def test_mix_gives_equal_parts_and_forces_anchors(spark, tmp_path):
+    rows = [ev(f"c{i:03}", "cipher") for i in range(300)] + [ev(f"g{i}", "Gravity") for i in range(5)] + [ev(f"n{i}", "numeral") for i in range(5)] + [ev("u0", None), ev("u1", None)]
+    rows += [ev(f"b{i:03}", "bit_manipulation", "hk_3302f383" if i in (7, 70) else "hk_c095f799-p0" if i == 90 else f"q{i}") for i in range(200)]
+    rows += [ev(f"e{i:03}", "equation_numeric", right=i % 2) for i in range(200)]
+    got = {r["id"]: r["mix_group"] for r in run(spark, tmp_path, "equal_parts_mix", eval_prediction=(rows, _EVAL))}
+    count = lambda g: sum(v == g for v in got.values())
+    assert {i for i, g in got.items() if g == "bit_replay_anchor"} == {"b007", "b090"}  # the first row of each anchor
+    assert (count("targeted_equation_fix"), count("equation_replay_correct"), count("bit_replay")) == (64, 26, 24)
+    others = [i[0] for i, g in got.items() if g == "other_category_replay"]
+    assert {c: others.count(c) for c in "cgnu"} == {"c": 3, "g": 3, "n": 3, "u": 2}
+
+
+def test_mix_without_total_keeps_all(spark):
+    p = spark.createDataFrame([ev("a", "cipher"), ev("b", "bit_manipulation"), ev("c", "equation_numeric", right=0)], _EVAL)
+    assert {r["id"] for r in catalog.replay_mix(p, 0, (), 1).collect()} == {"a", "b", "c"}
