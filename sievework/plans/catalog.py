@@ -286,6 +286,36 @@ def preference_records(spark, d):
     return both.where("chosen_loss > 0 AND rejected_loss > 0")
 
 
+# Fixed value: the longest sequence of the contract. The four queries above cut to shorter prefixes, those below to this.
+LONGEST = 8192
+
+
+@query(SQL["length_policy"].replace("1024", str(LONGEST)))
+def contract_length_policy(spark, d):
+    t = corpus(spark, d)
+    return t.select("problem_id", (F.size("tokens") > LONGEST).alias("too_long"), T.head(F.col("tokens"), LONGEST).alias("cut"), F.size(F.filter(T.head(F.col("mask"), LONGEST), lambda x: x > 0)).alias("supervised"))
+
+
+@query(SQL["length_stats"].replace("1024", str(LONGEST)))
+def contract_length_stats(spark, d):
+    n = F.size("tokens")
+    return corpus(spark, d).agg(F.count(F.lit(1)).alias("items"), F.count(F.when(n <= LONGEST, 1)).alias("kept"), F.count(F.when(n > LONGEST, 1)).alias("skipped"), F.max(n).alias("longest"))
+
+
+@query(SQL["sft_records"].replace("256", str(LONGEST)))
+def contract_sft_records(spark, d):
+    s = family(spark, d, "rsp_decision_sft", "prompt", "completion").where("prompt IS NOT NULL").select("id", T.word_tokens(F.col("prompt")).alias("p"), T.word_tokens(F.col("completion")).alias("c"))
+    return s.select("id", (F.size("p") + F.size("c")).alias("total_tokens"), F.size("c").alias("loss_tokens"), T.sft_record(F.col("p"), F.col("c"), LONGEST).alias("r")).select("id", "total_tokens", "loss_tokens", "r.input_ids", "r.labels")
+
+
+@query(SQL["preference_records"].replace("256", str(LONGEST)))
+def contract_preference_records(spark, d):
+    w = T.word_tokens
+    p = family(spark, d, "rsp_decision_preferences", "prompt", "chosen", "rejected").select("id", w(F.col("prompt")).alias("p"), w(F.col("chosen")).alias("c"), w(F.col("rejected")).alias("r"))
+    both = p.select("id", T.sft_record(F.col("p"), F.col("c"), LONGEST)["loss_tokens"].alias("chosen_loss"), T.sft_record(F.col("p"), F.col("r"), LONGEST)["loss_tokens"].alias("rejected_loss"))
+    return both.where("chosen_loss > 0 AND rejected_loss > 0")
+
+
 @query(f"SELECT problem_id, CAST(coalesce(list_min(list_filter(range(0, len(tokens) - 3 + 1), lambda i: tokens[i + 1:i + 3] = tokens[2:4])), -1) AS INTEGER) AS at, list_transform(range(0, len(tokens)), lambda i: CASE WHEN i >= 5 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS tail FROM {_T} WHERE len(tokens) BETWEEN 4 AND 400")
 def token_search(spark, d):
     t = corpus(spark, d).where("size(tokens) BETWEEN 4 AND 400")

@@ -95,3 +95,26 @@ def test_mix_gives_equal_parts_and_forces_anchors(spark, tmp_path):
 def test_mix_without_total_keeps_all(spark):
     p = spark.createDataFrame([ev("a", "cipher"), ev("b", "bit_manipulation"), ev("c", "equation_numeric", right=0)], _EVAL)
     assert {r["id"] for r in catalog.replay_mix(p, 0, (), 1).collect()} == {"a", "b", "c"}
+
+
+_CORPUS = "problem_id string, category string, tokens array<bigint>, mask array<double>"
+
+
+def test_items_are_cut_at_the_contract_length(spark, tmp_path):
+    rows = [(f"p{n}", None, list(range(n)), [1.0] * n) for n in (0, 1025, 8192, 8193)]
+    got = run(spark, tmp_path, "contract_length_policy", token_corpus=(rows, _CORPUS))
+    assert {r["problem_id"]: (r["too_long"], r["cut"], r["supervised"]) for r in got} == {k: (len(t) > 8192, t[:8192], min(len(t), 8192)) for k, _, t, _ in rows}
+    (stats,) = catalog.QUERIES["contract_length_stats"](spark, str(tmp_path)).collect()
+    assert (stats["items"], stats["kept"], stats["skipped"], stats["longest"]) == (4, 3, 1, 8193)
+
+
+def test_long_pairs_keep_their_loss_tokens(spark, tmp_path):
+    long = "w " * 300
+    got = run(
+        spark, tmp_path, "contract_sft_records",
+        rsp_decision_sft=([("a", long, "x " * 400), ("b", "w " * 8000, "x " * 400)], "id string, prompt string, completion string"),
+        rsp_decision_preferences=([("a", long, "x y", "z"), ("b", "w " * 8192, "x", "y")], "id string, prompt string, chosen string, rejected string"),
+    )
+    assert {r["id"]: (len(r["input_ids"]), sum(x != -100 for x in r["labels"])) for r in got} == {"a": (700, 400), "b": (8192, 192)}
+    pairs = catalog.QUERIES["contract_preference_records"](spark, str(tmp_path)).collect()
+    assert [(r["id"], r["chosen_loss"], r["rejected_loss"]) for r in pairs] == [("a", 2, 1)]
