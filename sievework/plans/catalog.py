@@ -477,6 +477,14 @@ def stratified_draw(spark, d):
     return O.stratified(t, "domain", "id", 101, 7).select("id", "domain")
 
 
+@query(f"""WITH r AS (SELECT id, domain, row_number() OVER (PARTITION BY domain ORDER BY md5(concat_ws('|', '7', id)), id) AS rn, dense_rank() OVER (ORDER BY domain) AS g FROM (SELECT id, {_folded('domain')} AS domain FROM {_F('rsp_anchor_sft')} WHERE id <> '')), n AS (SELECT max(g) AS n FROM r)
+SELECT id, domain FROM r, n WHERE rn <= 101 // n + CAST(g <= 101 % n AS INTEGER)""")
+def stratified_domains(spark, d):
+    """101 rows in equal parts per domain: the whole table, spellings folded, null as `unknown`."""
+    t = family(spark, d, "rsp_anchor_sft", "domain").select("id", folded(F.col("domain"), G.DOMAINS).alias("domain"))
+    return O.stratified(t, "domain", "id", 101, 7).select("id", "domain")
+
+
 @query(f"""SELECT id, mix_group FROM (SELECT id, mix_group, row_number() OVER (PARTITION BY mix_group ORDER BY md5(concat_ws('|', '42', id)), id) AS rn FROM (SELECT id, CASE WHEN category = 'equation_numeric' AND coalesce(exact_match, 0) = 0 THEN 'targeted_equation_fix' WHEN category = 'equation_numeric' THEN 'equation_replay_correct' WHEN category = 'bit_manipulation' THEN 'bit_replay' ELSE 'other_category_replay' END AS mix_group FROM {_P}))
 WHERE rn <= CASE mix_group WHEN 'targeted_equation_fix' THEN 64 WHEN 'equation_replay_correct' THEN 26 WHEN 'bit_replay' THEN 26 ELSE 12 END""")
 def guarded_mix(spark, d):

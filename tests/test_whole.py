@@ -118,3 +118,14 @@ def test_long_pairs_keep_their_loss_tokens(spark, tmp_path):
     assert {r["id"]: (len(r["input_ids"]), sum(x != -100 for x in r["labels"])) for r in got} == {"a": (700, 400), "b": (8192, 192)}
     pairs = catalog.QUERIES["contract_preference_records"](spark, str(tmp_path)).collect()
     assert [(r["id"], r["chosen_loss"], r["rejected_loss"]) for r in pairs] == [("a", 2, 1)]
+
+
+def test_every_domain_gets_its_share(spark, tmp_path):
+    names = {"cipher": 90, "Gravity": 20, "unit-conversion": 20, "eqution_numeric": 20, "numeral_system": 3, None: 20, "  ": 20, "something else": 20}
+    rows = [(f"{k}{i}", k) for k, n in names.items() for i in range(n)]
+    got = run(spark, tmp_path, "stratified_domains", rsp_anchor_sft=(rows, "id string, domain string"))
+    parts = {}
+    for r in got:
+        parts[r["domain"]] = parts.get(r["domain"], 0) + 1
+    # 101 = 7 x 14 + 3: the first three in sorted order get one more
+    assert parts == {"cipher": 15, "equation_numeric": 15, "gravity": 15, "numeral_system": 3, "something_else": 14, "unit_conversion": 14, "unknown": 14}
