@@ -204,12 +204,13 @@ def _unmask(ws: list[str], known: dict[int, list[str]]) -> list[str]:
     return out
 
 
-def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, epochs: int = 4, seed: int = 3) -> Model:
+def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, epochs: int = 6, seed: int = 3) -> Model:
     """The model of labelled documents.
 
     A harmful document's label belongs to some of its sentences. Candidates are those whose word
     pairs harmless documents hardly have; of these, kept are the ones that a model learned from
-    the other harmful documents (and the seed sentences) finds bad too, as some labels are wrong.
+    the other harmful documents (and the seed sentences) finds bad too, as some labels are wrong;
+    the candidates that it rejects are not learned at all.
     For the same reason sentences of harmless documents that such a model finds very bad are left
     out. Without labelled documents the seed sentences alone are learned.
     """
@@ -261,8 +262,9 @@ def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, ep
         model, _, code = fit(others | seeds, fine, max(2, epochs // 2))
         kept |= {s for s in mine if model.score(code(s)) >= 0.2}
         suspect.update(s for s in often if s not in settled and model.score(code(s)) >= 0.9)
+    rejected = bad - kept - seeds
     bad = kept | seeds
-    fine = (everything - bad) - {s for s, n in suspect.items() if n == folds}
+    fine = (everything - bad - rejected) - {s for s, n in suspect.items() if n == folds}
     model, known, _ = fit(bad, fine, epochs)
     at = np.flatnonzero(np.abs(model.z) > model.l1)
     return Model(at, model.weights(at), model._bias(), known)
