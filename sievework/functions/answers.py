@@ -126,7 +126,7 @@ def verified_target(text: Column, answer: Column) -> Column:
     return F.coalesce(text != "", F.lit(False)) & verified(answer, final_answer(text))
 
 
-def reward(completion: Column, gold: Column, symbolic: Column, exact: float = 1.0, box: float = 0.05, no_box: float = -0.1, fallback: float = -0.2, code: float = -0.2) -> Column:
+def reward(completion: Column, gold: Column, symbolic: Column, exact: float = 1.0, box: float = 0.05, no_box: float = -0.1, fallback: float = -0.1, code: float = -0.15) -> Column:
     """struct(prediction, exact, has_boxed, fallback_hit, internal_code, reward) of one completion.
 
     Right answers earn `exact`; a box or its lack counts; of wrong answers to symbolic tasks those with a

@@ -53,6 +53,11 @@ def draw(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.withColumn("_draw", draw_key(seed, key)).orderBy("_draw", key).limit(max(0, n)).drop("_draw")
 
 
+def draw_or_all(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """A limit option: n rows by seeded draw, or all of them where n is 0 or less or not below the number of rows."""
+    return draw(df, key, n, seed) if n > 0 else df
+
+
 def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "rn") -> DataFrame:
     """Row numbers from 1 over the whole table without a one-task window: rows are range-partitioned and
     written once, the partitions' sizes (one row a partition) are summed up, and each partition is numbered from there."""

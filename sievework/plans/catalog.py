@@ -130,7 +130,7 @@ def answer_shapes(spark, d):
 
 _SYM = "category LIKE 'equation_numeric%'"
 _REWARD = f"""SELECT id, problem_id, pred AS prediction, exact, has_boxed, inner_code AS internal_code,
- round((CASE WHEN exact = 1 THEN 1.0 ELSE 0.0 END) + (CASE WHEN has_boxed = 1 THEN 0.05 ELSE -0.1 END) + (CASE WHEN hit AND exact = 0 THEN -0.2 ELSE 0.0 END) + (CASE WHEN inner_code = 1 THEN -0.2 ELSE 0.0 END), 6)::DOUBLE AS reward
+ round((CASE WHEN exact = 1 THEN 1.0 ELSE 0.0 END) + (CASE WHEN has_boxed = 1 THEN 0.05 ELSE -0.1 END) + (CASE WHEN hit AND exact = 0 THEN -0.1 ELSE 0.0 END) + (CASE WHEN inner_code = 1 THEN -0.15 ELSE 0.0 END), 6)::DOUBLE AS reward
 FROM (SELECT *, CAST(sym AND exact = 0 AND regexp_full_match(trim(pred), '[A-Zxyz?]{{2,}}') AS INTEGER) AS inner_code FROM (SELECT id, problem_id, pred, CAST({_ok('answer', 'pred')} AS INTEGER) AS exact, CAST(coalesce(contains(raw_output, '\\boxed{{'), false) AS INTEGER) AS has_boxed,
  coalesce({_SYM}, false) AS sym, coalesce({_SYM}, false) AND ({' OR '.join(f"contains(lower(coalesce(raw_output, '')), '{p}')" for p in A.FALLBACK_PHRASES)}) AS hit FROM (SELECT *, {_fa('raw_output')} AS pred FROM {_P})))"""
 

@@ -82,9 +82,9 @@ def test_shapes(one):
 def test_reward_terms(one):
     r = one(A.reward(F.col("a"), F.col("b"), F.lit(True)), "We default to XYZ", "5")
     assert (r.exact, r.has_boxed, r.fallback_hit, r.internal_code) == (0, 0, 1, 0)
-    assert math.isclose(r.reward, -0.3)
+    assert math.isclose(r.reward, -0.1 - 0.1)
     r = one(A.reward(F.col("a"), F.col("b"), F.lit(True)), r"\boxed{XY}", "5")
-    assert r.internal_code == 1 and math.isclose(r.reward, 0.05 - 0.2)
+    assert r.internal_code == 1 and math.isclose(r.reward, 0.05 - 0.15)
     r = one(A.reward(F.col("a"), F.col("b"), F.lit(False)), r"\boxed{5}", "5")
     assert math.isclose(r.reward, 1.05)
 
@@ -112,3 +112,20 @@ def test_random_texts_against_plain_python(spark):
 
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", A.final_answer(F.col("t")).alias("x")).collect()
     assert {r.i: r.x for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_reward_by_hand(one):
+    """Amounts worked out by hand: 1.0 right, 0.05 boxed, -0.10 no box, -0.10 fallback phrase, -0.15 internal code."""
+
+    def reward(text, gold, symbolic=True):
+        return round(one(A.reward(F.col("a"), F.col("b"), F.lit(symbolic)), text, gold).reward, 6)
+
+    phrase = A.FALLBACK_PHRASES[0]
+    assert reward("so \\boxed{12}", "12") == 1.05
+    assert reward("The final answer is: 12", "12") == 0.9
+    assert reward("so \\boxed{13}", "12") == 0.05
+    assert reward(f"{phrase} \\boxed{{13}}", "12") == -0.05
+    assert reward(f"{phrase} \\boxed{{13}}", "12", symbolic=False) == 0.05
+    assert reward("so \\boxed{ABz}", "12") == -0.1
+    assert reward(f"{phrase} \\boxed{{AB}}", "12") == -0.2
+    assert reward("ABx", "12") == -0.25

@@ -56,6 +56,7 @@ def test_numbered_and_batches(spark):
 
 def test_draws(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("s"))
+    assert O.draw_or_all(df, "s", 0, 1).count() == 10 and O.draw_or_all(df, "s", 4, 1).count() == 4
     assert O.draw(df, "s", 0, 1).count() == 0 and O.draw(df, "s", 4, 1).count() == 4 and O.draw(df, "s", 99, 1).count() == 10
     over = O.draw_with_overflow(df, "s", 25, 1).collect()
     assert len(over) == 25 and {r.draw_no for r in over} == set(range(1, 26)) and len({r.s for r in over}) == 10
