@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import abuse, cutoff, leakage, mixing, overlap, packing, pairs, splits
@@ -21,6 +21,14 @@ def query(f: Query) -> Query:
     return f
 
 
+def _lines(targets: DataFrame, most: int = 100_000) -> list[Row]:
+    """All lines of a target table, which is configuration; more than `most` are refused, none is dropped."""
+    rows = targets.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a target table has more than {most:,} lines")
+    return rows
+
+
 # ---------------------------------------------------------------- P1
 
 
@@ -31,7 +39,7 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shares(spark: SparkSession, d: str) -> dict[str, float]:
-    return {r.split: r.target_share for r in table(spark, d, "split_target").limit(1000).collect()}
+    return {r.split: r.target_share for r in _lines(table(spark, d, "split_target"))}
 
 
 @query
@@ -77,9 +85,7 @@ _FIELD = {"rsp_anchor_sft": "domain", "eval_prediction": "category"}
 
 def _plans(spark: SparkSession, d: str) -> dict[str, dict[str, list[tuple[float, str, float, int]]]]:
     """population -> plan -> lines. The plan table is configuration; more than 100,000 lines are refused."""
-    rows = table(spark, d, "sample_target").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("sample_target has more than 100,000 lines")
+    rows = _lines(table(spark, d, "sample_target"))
     out: dict[str, dict[str, list[tuple[float, str, float, int]]]] = {}
     for r in rows:
         out.setdefault(r.population, {}).setdefault(r.plan_name, []).append((r.sample_fraction, r.category, r.target_share, r.min_rows))
@@ -91,8 +97,9 @@ def _allocated(spark: SparkSession, d: str):
     for population, plans in sorted(_plans(spark, d).items()):
         names = sorted({c for lines in plans.values() for _, c, _, _ in lines})
         keyed = ts.prepared(ts.keyed_population(table(spark, d, population), "id", F.col(_FIELD[population]), names))
+        counts = ts.category_counts(keyed)
         for name, lines in sorted(plans.items()):
-            yield name, keyed, *ts.plan_lines(keyed, lines)
+            yield name, keyed, *ts.plan_lines(keyed, lines, counts)
 
 
 @query
@@ -100,9 +107,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     rows = []
     for name, _, lines, records, size in _allocated(spark, d):
         for x in lines:
-            need = max(float(x.minimum), x.share * size)
-            rows.append((name, x.category, records, size, x.share, x.minimum, x.available, x.wanted, x.given, sum(x.taken_from.values()), x.given / size if size else None, x.available < round(need, 9)))
-    return spark.createDataFrame(rows, "plan_name string, category string, records long, sample_size long, target_share double, min_rows int, available long, wanted long, drawn long, passed_on long, actual_share double, not_met boolean")
+            rows.append((name, x.category, records, size, x.share, x.minimum, x.available, x.wanted, x.given, sum(x.taken_from.values()), x.given / size if size else None, x.lacking, x.lacking > 0, [(o, n) for o, n in x.taken_from.items()]))
+    return spark.createDataFrame(rows, "plan_name string, category string, records long, sample_size long, target_share double, min_rows int, available long, wanted long, drawn long, passed_on long, actual_share double, lacking double, not_met boolean, stand_ins array<struct<category: string, n: int>>")
 
 
 @query
@@ -119,8 +125,16 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query
+def p2_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per plan: records, sample size and what the sample really holds, in all and of categories short of their target."""
+    r = p2_report(spark, d).groupBy("plan_name").agg(F.max("records").alias("records"), F.max("sample_size").alias("sample_size"), F.sum(F.col("not_met").cast("long")).alias("lines_not_met"))
+    got = p2_sample(spark, d).groupBy("plan_name").agg(F.count(F.lit(1)).alias("drawn"))
+    return r.join(got, "plan_name", "left").select("plan_name", "records", "sample_size", "lines_not_met", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+
+
 _NAME_SQL = "regexp_replace(lower(regexp_replace(trim(v, E' \\t\\n\\r'), '([a-z])([A-Z])', '\\1_\\2', 'g')), '[ \\t\\n\\r_-]+', '_', 'g')"
-SQL["p2_found"] = f"""
+_P2_SQL = f"""
 WITH pop AS (SELECT 'rsp_anchor_sft' AS population, id, domain AS v FROM rsp_anchor_sft UNION ALL SELECT 'eval_prediction', id, category FROM eval_prediction),
 names AS (SELECT DISTINCT population, category FROM sample_target),
 vals AS (SELECT DISTINCT population, v, {_NAME_SQL} AS s FROM pop WHERE v IS NOT NULL),
@@ -129,9 +143,15 @@ best AS (SELECT population, v, category FROM near WHERE dist <= 2 QUALIFY dist =
 ids AS (SELECT pop.population, id, min(category) AS category FROM pop LEFT JOIN best USING (population, v) GROUP BY ALL),
 sizes AS (SELECT population, count(*) AS n FROM ids GROUP BY ALL),
 counts AS (SELECT population, category, count(*) AS n FROM ids GROUP BY ALL)
-SELECT plan_name, t.category FROM sample_target t JOIN sizes USING (population) LEFT JOIN counts c ON c.population = t.population AND c.category = t.category
+"""
+SQL["p2_found"] = f"""{_P2_SQL} SELECT plan_name, t.category FROM sample_target t JOIN sizes USING (population) LEFT JOIN counts c ON c.population = t.population AND c.category = t.category
 WHERE coalesce(c.n, 0) < round(greatest(min_rows, target_share * floor(sample_fraction * sizes.n + 1e-9)), 9)
 """
+SQL["p2_totals"] = f"""{_P2_SQL} SELECT plan_name, records, sample_size, CAST(sum(not_met) AS BIGINT) AS lines_not_met, CAST(least(greatest(sample_size, sum(least(min_rows, n))), sum(n)) AS BIGINT) AS drawn FROM (
+ SELECT plan_name, sizes.n AS records, CAST(floor(sample_fraction * sizes.n + 1e-9) AS BIGINT) AS sample_size, min_rows, coalesce(c.n, 0) AS n,
+  CAST(coalesce(c.n, 0) < round(greatest(min_rows, target_share * floor(sample_fraction * sizes.n + 1e-9)), 9) AS INTEGER) AS not_met
+ FROM sample_target t JOIN sizes USING (population) LEFT JOIN counts c ON c.population = t.population AND c.category = t.category) GROUP BY ALL
+"""
 
 
 # ---------------------------------------------------------------- P5
@@ -261,7 +281,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text", "source", mixing.quality(F.col("text")).alias("weight"))
-    targets = {r.source: (r.target_share, r.max_repeats) for r in table(spark, d, "mix_target").limit(10_000).collect()}
+    targets = {r.source: (r.target_share, r.max_repeats) for r in _lines(table(spark, d, "mix_target"))}
     return mixing.mix(mixing.token_counts(spread(docs)), targets)
 
 

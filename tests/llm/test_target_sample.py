@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -21,6 +22,28 @@ def test_minimum_is_kept_and_nothing_is_overdrawn():
     assert T.allocate([], 5) == []
 
 
+def test_sums_are_met_whatever_the_rounding():
+    got = T.allocate([T.Line(c, 1 / 3, 0, 90) for c in ("a", "b", "c")], 100)
+    assert sorted(x.given for x in got) == [33, 33, 34]
+    rng = random.Random(1)
+    for _ in range(300):
+        words = ["_".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 9))]
+        lines = [T.Line(c, rng.choice([0, 0.1, 0.25, 1 / 3]), rng.randint(0, 4), rng.randint(0, 40)) for c in sorted(set(words))]
+        size = rng.randint(0, 150)
+        got = T.allocate(lines, size)
+        floors, all_ = sum(min(x.minimum, x.available) for x in got), sum(x.available for x in got)
+        assert sum(x.given for x in got) == min(max(size, floors), all_)
+        assert all(min(x.minimum, x.available) <= x.given <= x.available for x in got)
+
+
+def test_nearest_relatives_stand_in_first():
+    lines = [T.Line("a_b_c", 0.25, 0, 5), T.Line("a_b_d", 0.25, 0, 30), T.Line("a_e", 0.25, 0, 30), T.Line("f", 0.25, 0, 90)]
+    got = {x.category: x for x in T.allocate(lines, 100)}
+    assert got["a_b_c"].taken_from == {"a_b_d": 5, "a_e": 5, "f": 10}
+    assert [got[c].given for c in ("a_b_c", "a_b_d", "a_e", "f")] == [5, 30, 30, 35]
+    assert got["a_b_c"].lacking == 20 and got["a_b_d"].lacking == 0
+
+
 def test_draw_is_exact_and_repeatable(spark):
     rows = [(f"i{k}", ["Cipher", "cipher", "ciher", "gravity", None][k % 5]) for k in range(500)] + [("i0", "Cipher"), (None, "cipher")]
     keyed = T.keyed_population(spark.createDataFrame(rows, "id string, c string"), "id", F.col("c"), ["cipher", "gravity"])
