@@ -147,10 +147,10 @@ counts AS (SELECT population, category, count(*) AS n FROM ids GROUP BY ALL)
 SQL["p2_found"] = f"""{_P2_SQL} SELECT plan_name, t.category FROM sample_target t JOIN sizes USING (population) LEFT JOIN counts c ON c.population = t.population AND c.category = t.category
 WHERE coalesce(c.n, 0) < round(greatest(min_rows, target_share * floor(sample_fraction * sizes.n + 1e-9)), 9)
 """
-SQL["p2_totals"] = f"""{_P2_SQL} SELECT plan_name, records, sample_size, CAST(sum(not_met) AS BIGINT) AS lines_not_met, CAST(least(greatest(sample_size, sum(least(min_rows, n))), sum(n)) AS BIGINT) AS drawn FROM (
+SQL["p2_totals"] = f"""{_P2_SQL} SELECT plan_name, max(records) AS records, max(sample_size) AS sample_size, CAST(sum(not_met) AS BIGINT) AS lines_not_met, CAST(least(greatest(max(sample_size), sum(least(min_rows, n))), sum(n)) AS BIGINT) AS drawn FROM (
  SELECT plan_name, sizes.n AS records, CAST(floor(sample_fraction * sizes.n + 1e-9) AS BIGINT) AS sample_size, min_rows, coalesce(c.n, 0) AS n,
   CAST(coalesce(c.n, 0) < round(greatest(min_rows, target_share * floor(sample_fraction * sizes.n + 1e-9)), 9) AS INTEGER) AS not_met
- FROM sample_target t JOIN sizes USING (population) LEFT JOIN counts c ON c.population = t.population AND c.category = t.category) GROUP BY ALL
+ FROM sample_target t JOIN sizes USING (population) LEFT JOIN counts c ON c.population = t.population AND c.category = t.category) GROUP BY plan_name
 """
 
 
@@ -224,30 +224,38 @@ def p4_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training and evaluation records; of a problem predicted several times every distinct prompt counts."""
     sft = spread(table(spark, d, "rsp_decision_sft").select(F.col("id").alias("key"), "prompt", "split"))
-    problems = table(spark, d, "eval_prediction").where("problem_id IS NOT NULL").groupBy(F.col("problem_id").alias("key")).agg(F.min("prompt").alias("prompt"))
+    problems = table(spark, d, "eval_prediction").where("problem_id IS NOT NULL").select(F.col("problem_id").alias("key"), "prompt").distinct()
     return sft.where("split = 'train'").drop("split"), sft.where("split IN ('validation', 'test')").drop("split").union(problems)
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(*_sides(spark, d))
-
-
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    o = _overlaps(spark, d)
+    o = overlap.overlaps(*_sides(spark, d))
     return o.select(F.least("train_key", "held_key").alias("key_a"), F.greatest("train_key", "held_key").alias("key_b")).distinct()
 
 
 @query
 def p3_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d)
+    """Pairs of distinct texts with what matched and how many records hold either; see p3_members for these."""
+    return overlap.classes(*_sides(spark, d))[0]
+
+
+@query
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The records of every text that overlaps, with its number of links to different texts of the other side."""
+    pairs, members = overlap.classes(*_sides(spark, d))
+    links = pairs.select(F.lit("train").alias("side"), F.col("train_text").alias("text")).union(pairs.select(F.lit("held"), "held_text")).groupBy("side", "text").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, ["side", "text"])
 
 
 @query
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Per split, source and source_id (null for eval_prediction): evaluation records that also stand in training."""
-    hit = settle(_overlaps(spark, d).groupBy("held_key").agg(F.count(F.lit(1)).alias("pairs")), "hits")
+    pairs, members = overlap.classes(*_sides(spark, d))
+    by_text = pairs.groupBy(F.col("held_text").alias("text")).agg(F.sum("train_copies").alias("pairs"))
+    hit = settle(members.where("side = 'held'").join(by_text, "text").groupBy(F.col("key").alias("held_key")).agg(F.sum("pairs").alias("pairs")), "hits")
     sft = table(spark, d, "rsp_decision_sft").where("split IN ('validation', 'test')").select(F.col("id").alias("held_key"), "split", "source", "source_id")
     ev = table(spark, d, "eval_prediction").where("problem_id IS NOT NULL").select(F.col("problem_id").alias("held_key"), F.lit("eval_prediction").alias("split"), "source", F.lit(None).cast("string").alias("source_id"))
     rows = sft.union(ev).distinct().join(hit, "held_key", "left")
