@@ -265,8 +265,8 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- P7
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.search(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "heldout_item"))
+def _leaks(spark: SparkSession, d: str, paraphrase: float | None = None) -> DataFrame:
+    return leakage.search(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "heldout_item"), cosine=0.6 if paraphrase is None else 0.45, paraphrase=paraphrase)
 
 
 @query
@@ -276,7 +276,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d)
+    """Passages and, beyond p7_found, paraphrases: documents that share half of an item's words in their order."""
+    return _leaks(spark, d, 0.5)
 
 
 @query
