@@ -97,7 +97,8 @@ def test_paraphrases_are_told_apart(spark):
     rng = random.Random(3)
     w = text(rng, 60)
     loose = [x for k, x in enumerate(w) for x in ([x] if k % 3 else [f"new{k}", f"more{k}"])]
-    docs, items = spark.createDataFrame([(1, " ".join(loose)), (2, " ".join(w)), (3, " ".join(reversed(w)))], DOCS), spark.createDataFrame([(7, " ".join(w))], ITEMS)
+    others = [(100 + i, " ".join([*text(rng, 80), f"new{i % 60}", f"more{i % 60}"])) for i in range(300)]
+    docs, items = spark.createDataFrame([(1, " ".join(loose)), (2, " ".join(w)), (3, " ".join(reversed(w))), *others], DOCS), spark.createDataFrame([(7, " ".join(w))], ITEMS)
     assert {r.doc_id: r.kind for r in L.search(docs, items, cosine=0.4, paraphrase=0.5).collect()} == {1: "paraphrase", 2: "passage"}
     assert {r.doc_id for r in L.search(docs, items).collect()} == {2}
 
