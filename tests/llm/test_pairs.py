@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from sievework.llm import pairs as P
@@ -57,3 +60,29 @@ def test_language(spark, text, want):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(text,)], "a string").select(P.language(F.col("a")).alias("x")).first().x == want
+
+
+def test_model_outdoes_its_functions():
+    """Noisy functions of unlike accuracy: the model against any vote and against the majority, on known truth."""
+    rng = random.Random(1)
+    hit, false = [0.95, 0.5, 0.99, 0.98], [0.002, 0.001, 0.05, 0.3]
+    rows = []
+    for _ in range(20_000):
+        y = rng.random() < 0.02
+        rows.append((y, "".join("1" if rng.random() < (hit[j] if y else false[j]) else "0" for j in range(4))))
+    planted = Counter(p for y, p in rows[:4000] if y)
+    counts = Counter(p for _, p in rows)
+    model = P.learn(counts, {p: (float(n), 0.0) for p, n in planted.items()})
+
+    def f1(says):
+        true = sum(y and says(p) for y, p in rows)
+        return 2 * true / (sum(says(p) for _, p in rows) + sum(y for y, _ in rows))
+
+    assert f1(lambda p: model.posterior(p) >= 0.5) > 0.95 > 0.8 > f1(lambda p: p.count("1") > 2) and f1(lambda p: "1" in p) < 0.2
+
+
+def test_a_value_can_carry_two_labels(spark):
+    both = "Ich vergleiche zuerst die Beispiele und suche eine Regel, das Ergebnis ist dann mit der"
+    df = frame(spark).union(spark.createDataFrame([(f"two{j}", PROMPT, both, "83", "x") for j in range(12)], SCHEMA))
+    got = {r.record_id: r.labels for r in label(df).collect() if r.field == "completion"}
+    assert got["two0"] == ["other_language", "truncated"] and got["cut0"] == ["truncated"]
