@@ -8,7 +8,7 @@ that ends otherwise, in a broken escape or in a mark, is a cut one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.runtime import settle
@@ -23,18 +23,15 @@ MEASURES = ("characters", "utf8_bytes", "utf16_units", "html_characters", "html_
 
 def lengths(c: Column) -> dict[str, Column]:
     """The value's length under each encoding of MEASURES; null for null."""
-    count = lambda p: F.regexp_count(c, F.lit(p))
     chars, bytes_ = F.length(c), F.octet_length(c)
-    html = 4 * count("&") + 3 * count("[<>]") + 5 * count("[\"']")
-    json = count(r'["\\\n\r\t\x08\f]') + 5 * count(r"[\x00-\x07\x0b\x0e-\x1f]")
-    crlf = count(r"(?<!\r)\n")
-    return dict(
-        zip(
-            MEASURES,
-            (chars, bytes_, chars + count(r"[\x{10000}-\x{10FFFF}]"), chars + html, bytes_ + html, chars + json, bytes_ + json, chars + crlf, bytes_ + crlf, F.size(F.split(c, " "))),
-            strict=True,
-        )
-    )
+    # the bytes that a sign takes away where it is left out: faster than a regular expression
+    count = lambda sign: ((bytes_ - F.octet_length(F.replace(c, F.lit(sign)))) / len(sign)).cast("int")
+    html = 4 * count("&") + 3 * (count("<") + count(">")) + 5 * (count('"') + count("'"))
+    rare = F.regexp_count(c, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")), F.regexp_count(c, F.lit(r"[\x08\x0c]"))
+    json = count('"') + count("\\") + count("\n") + count("\r") + count("\t") + F.when(c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), 5 * rare[0] - 4 * rare[1]).otherwise(0)
+    crlf = count("\n") - count("\r\n")
+    pairs = F.when(bytes_ > chars, F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))).otherwise(0)
+    return dict(zip(MEASURES, (chars, bytes_, chars + pairs, chars + html, bytes_ + html, chars + json, bytes_ + json, chars + crlf, bytes_ + crlf, count(" ") + 1), strict=True))
 
 
 def boxed(c: Column) -> Column:
@@ -43,61 +40,73 @@ def boxed(c: Column) -> Column:
 
 
 def ending(c: Column) -> Column:
-    """The last sentence or line in a comparable form: digits as 9, the boxed result left out."""
-    last = F.regexp_extract(F.rtrim(c), r"(?s)(?:^|\n|(?<=[.!?。])\s)\s*([^\n]*?)$", 1)
+    """The last sentence or line in a comparable form: digits as 9, the boxed result left out. One of more than 300
+    characters is given by a digest, so that long ones are learned like any other."""
+    last = F.ltrim(F.substring_index(F.rtrim(c), "\n", -1))
     last = F.regexp_replace(last, r"^.*(?<=[.!?。])\s+(?=\S)", "")
-    return F.regexp_replace(F.regexp_replace(last, BOX, "[]"), r"\d+", "9")
+    last = F.regexp_replace(F.regexp_replace(last, BOX, "[]"), r"\d+", "9")
+    return F.when(F.length(last) > 300, F.concat(F.lit("#"), F.md5(last))).otherwise(last)
 
 
 def find_limits(spread: DataFrame, least: int = 5, band: float = 0.06) -> DataFrame:
-    """(source, measure, max_length, at_limit) for counted lengths(source, measure, length, n, loose).
+    """(source, measure, max_length, at_limit) for counted lengths(source, measure, length, n, loose): every pile.
 
-    A limit is the largest length of a measure if at least `least` values lie within its last 4
-    units (2, if it is below 100) and these are filled more than 3 times as densely as the
-    `band` (a share of the length, 8 units at least) below, and if a third of them or more end loosely. Of several measures that show one, the one with most
-    values at its limit is kept (ties: order of MEASURES).
+    A pile is a length that at least `least` values reach within its last 4 units (2, if it is below 100), which are
+    filled more than 3 times as densely as the `band` (a share of the length, 8 units at least) below and above,
+    if half of them or more end loosely, and if no pile of the measure within 4 units is higher. A source may have
+    several, as fields or exports have their own limits. Measures of which one source's piles hold fewer than half
+    as many values as those of its best measure are left out.
     """
-    top = spread.groupBy("source", "measure").agg(F.max("length").alias("max_length"))
-    x = spread.join(top, ["source", "measure"])
-    gap = F.col("max_length") - F.col("length")
-    width = F.greatest(F.lit(8.0), F.col("max_length") * band)
-    end = F.when(F.col("max_length") < 100, 2).otherwise(4)
-    got = x.groupBy("source", "measure", "max_length").agg(
-        F.sum(F.when(gap < end, F.col("n")).otherwise(0)).alias("at_limit"),
-        F.sum(F.when((gap >= end) & (gap < end + width), F.col("n")).otherwise(0)).alias("below"),
-        F.sum(F.when(gap < end, F.col("loose")).otherwise(0)).alias("loose"),
-    )
+    key = Window.partitionBy("source", "measure").orderBy(F.col("length").cast("long"))
+    near = key.rangeBetween(-3, 0)
+    wide = [F.when(F.col("length") < 100, a).otherwise(b) for a, b in ((2, 4), (1, 3))]
+    got = spread.withColumn("l", F.col("length").cast("long"))
+    got = got.withColumns({"at4": F.sum("n").over(near), "at2": F.sum("n").over(key.rangeBetween(-1, 0)), "loose4": F.sum("loose").over(near), "loose2": F.sum("loose").over(key.rangeBetween(-1, 0)), "top": F.max("n").over(key.rangeBetween(-4, 4))})
+    got = got.withColumns({"at_limit": F.when(F.col("length") < 100, F.col("at2")).otherwise(F.col("at4")), "loose_at": F.when(F.col("length") < 100, F.col("loose2")).otherwise(F.col("loose4"))})
+    some = got.where((F.col("at_limit") >= least) & (F.col("loose_at") * 2 >= F.col("at_limit")) & (F.col("n") == F.col("top")))
+    width = F.greatest(F.lit(8.0), F.col("p.l") * band)
+    a, p = spread.select("source", "measure", F.col("length").alias("ol"), F.col("n").alias("on")).alias("a"), some.select("source", "measure", "l", "at_limit", wide[0].alias("w")).alias("p")
+    beside = p.join(a, ["source", "measure"]).where((F.col("ol") > F.col("l") - F.col("w") - width) & (F.col("ol") <= F.col("l") + width)).groupBy("source", "measure", "l", "at_limit", "w", width.alias("width")).agg(F.sum(F.when(F.col("ol") <= F.col("l") - F.col("w"), F.col("on")).otherwise(0)).alias("below"), F.sum(F.when(F.col("ol") > F.col("l"), F.col("on")).otherwise(0)).alias("above"))
+    dense = F.col("at_limit") / F.col("w")
+    real = beside.where((dense > 3 * F.col("below") / F.col("width")) & (dense > 3 * F.col("above") / F.col("width")))
     rank = F.create_map(*[v for i, m in enumerate(MEASURES) for v in (F.lit(m), F.lit(-i))])
-    real = got.where((F.col("at_limit") >= least) & (F.col("loose") * 3 >= F.col("at_limit")) & (F.col("at_limit") / F.when(F.col("max_length") < 100, 2).otherwise(4) > 3 * F.col("below") / width)).withColumn("order", F.struct("at_limit", rank[F.col("measure")]))
-    best = real.groupBy("source").agg(F.max_by(F.struct("measure", "max_length", "at_limit"), "order").alias("b"))
-    return best.select("source", "b.measure", "b.max_length", "b.at_limit")
+    sums = real.groupBy("source", "measure").agg(F.sum("at_limit").alias("held"))
+    best = sums.groupBy("source").agg(F.max("held").alias("most"), F.max_by("measure", F.struct("held", rank[F.col("measure")])).alias("first"))
+    kept = sums.join(best, "source").where((F.col("held") * 2 >= F.col("most"))).select("source", "measure", (F.col("measure") == F.col("first")).alias("best"))
+    return real.join(kept, ["source", "measure"]).select("source", "measure", F.col("l").alias("max_length"), "at_limit", "best")
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """One row an id of (id, source, raw_output, prediction): lengths without a mark, ending, boxed result, flags.
+    """(id, source, ...) of every distinct content of an id: lengths without a mark, ending, boxed result, flags.
 
-    Null or blank ids are kept out; a null source is reported as `unknown`; deliveries count once.
+    Null ids are kept out; a null source is reported as `unknown`; equal deliveries count once, and deliveries that
+    differ are judged each.
     """
-    raw = F.regexp_replace("raw_output", MARK, "")
-    box = boxed(F.col("raw_output"))
-    tail = F.element_at(F.split(F.col("raw_output"), BOX), -1)
-    out = rows.where("id IS NOT NULL").select(
-        "id",
-        F.coalesce("source", F.lit("unknown")).alias("source"),
-        F.array(*lengths(raw).values()).alias("raw_len"),
-        F.array(*lengths(F.nullif(F.trim("prediction"), F.lit(""))).values()).alias("pred_len"),
-        (F.trim(F.coalesce("raw_output", F.lit(""))) == "").alias("raw_none"),
-        F.col("raw_output").rlike(MARK).alias("marked"),
-        F.rtrim("raw_output").rlike(BROKEN).alias("broken"),
-        box.isNotNull().alias("has_box"),
-        (box.isNotNull() & ((F.trim(tail) == "") | F.rtrim(tail).rlike(STOP))).alias("box_closed"),
-        (~F.coalesce(F.rtrim(raw).rlike(STOP), F.lit(False))).alias("no_stop"),
-        ending(F.col("raw_output")).alias("end"),
-        (box.startswith(F.col("prediction")) & (box != F.col("prediction")) & (F.trim("prediction") != "")).alias("pred_cut"),
-    )
-    out = out.withColumn("end", F.when(F.length("end") <= 300, F.col("end")))
-    cols = [c for c in out.columns if c != "id"]
-    return out.groupBy("id").agg(F.min(F.struct(*cols)).alias("x")).select("id", *[F.col(f"x.{c}").alias(c) for c in cols])
+    raw = F.col("raw_output")
+    # marks and broken ends are looked for in the last characters, in the whole value where these are mostly blank
+    tail = F.substring(raw, -300, 300)
+    tail = F.when(F.length(F.regexp_replace(tail, r"\s+$", "")) >= 40, tail).otherwise(raw)
+    first = F.struct(tail.rlike(MARK).alias("marked"), F.rtrim(tail).rlike(BROKEN).alias("broken"), boxed(raw).alias("box"))
+
+    def then(x: Column) -> Column:
+        whole = F.when(x.marked, F.regexp_replace(raw, MARK, "")).otherwise(raw)
+        after = F.rtrim(F.call_function("substring_index", raw, F.concat(F.lit("\\boxed{"), x.box, F.lit("}")), F.lit(-1)))
+        pred = F.col("prediction")
+        return F.struct(
+            F.array(*lengths(whole).values()).alias("raw_len"),
+            F.array(*lengths(F.nullif(F.trim(pred), F.lit(""))).values()).alias("pred_len"),
+            (F.trim(F.coalesce(raw, F.lit(""))) == "").alias("raw_none"),
+            x.marked.alias("marked"),
+            x.broken.alias("broken"),
+            x.box.isNotNull().alias("has_box"),
+            (x.box.isNotNull() & ((F.trim(after) == "") | after.rlike(STOP))).alias("box_closed"),
+            (~F.coalesce(F.substring(F.rtrim(whole), -40, 40).rlike(STOP), F.lit(False))).alias("no_stop"),
+            ending(raw).alias("end"),
+            (x.box.startswith(pred) & (x.box != pred) & (F.trim(pred) != "")).alias("pred_cut"),
+        )
+
+    out = rows.where("id IS NOT NULL").select("id", F.coalesce("source", F.lit("unknown")).alias("source"), F.transform(F.array(first), then)[0].alias("x"))
+    return out.select("id", "source", "x.*").distinct()
 
 
 def spread_of(m: DataFrame, lens: str) -> DataFrame:
@@ -131,7 +140,7 @@ def detect(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     kind: `marked` (a mark says so), `transfer` (broken escape, character or token at the end),
     `field_limit` (an unfinished end at the source's limit), `unfinished` (an unfinished end
-    elsewhere), `prediction` (only the beginning of the boxed result). Null and blank values are
+    elsewhere), `prediction` (only the beginning of the boxed result). The limits given are those of the best measure. Null and blank values are
     no cases. Complete replies without box or full stop are known by their ending.
     """
     m = settle(measured(rows), "measured")
@@ -139,9 +148,12 @@ def detect(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     usual = F.coalesce(F.col("end").isin(often), F.lit(False)) if often else F.lit(False)
     m = m.withColumn("loose", F.col("no_stop") & ~F.col("box_closed") & ~usual)
     raw_limits = settle(find_limits(spread_of(m, "raw_len")), "limits")
-    pred_limits = find_limits(spread_of(m.where("pred_cut"), "pred_len"))
+    pred_limits = find_limits(spread_of(m.where("pred_cut"), "pred_len")).where("best")
     index = F.create_map(*[v for i, x in enumerate(MEASURES) for v in (F.lit(x), F.lit(i))])
-    known = m.join(raw_limits, "source", "left").withColumn("at_limit", F.coalesce(F.get(F.col("raw_len"), index[F.col("measure")]) > F.col("max_length") - 4, F.lit(False)))
+    piles = raw_limits.groupBy("source").agg(F.collect_list(F.struct(index[F.col("measure")].alias("i"), "max_length")).alias("piles"))
+    width = lambda p: F.when(p.max_length < 100, 2).otherwise(4)
+    near = F.exists("piles", lambda p: (F.get(F.col("raw_len"), p.i) > p.max_length - width(p)) & (F.get(F.col("raw_len"), p.i) <= p.max_length))
+    known = m.join(piles, "source", "left").withColumn("at_limit", F.coalesce(near, F.lit(False)))
     ends = whole_endings(known)
     fine = F.col("end").isin(ends) if ends else F.lit(False)
     fine = F.coalesce(fine, F.lit(False))
@@ -155,17 +167,20 @@ def detect(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise("unfinished")
     )
     raw = known.select("id", "source", F.lit("raw_output").alias("field"), kind.alias("kind"))
+    raw_limits = raw_limits.where("best")
     pred = m.where("pred_cut").select("id", "source", F.lit("prediction").alias("field"), F.lit("prediction").alias("kind"))
     limits = raw_limits.select("source", F.lit("raw_output").alias("field"), "measure", "max_length", "at_limit").union(pred_limits.select("source", F.lit("prediction"), "measure", "max_length", "at_limit"))
-    return raw.where("kind IS NOT NULL").union(pred), limits
+    found = raw.where("kind IS NOT NULL").union(pred)
+    return found.groupBy("id", "source", "field").agg(F.min("kind").alias("kind")), limits
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """(source, field, rows, cut, rate, kinds, limit_measure, limit_length) per source and field."""
+    """(source, field, rows, cut, rate, kinds, limit_measure, limit_length, limits) per source and field: the limit of most values, and their number."""
     found, limits = detect(rows)
     total = rows.where("id IS NOT NULL").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.countDistinct("id").alias("rows"))
     kinds = found.groupBy("source", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     cut = kinds.groupBy("source", "field").agg(F.sum("n").alias("cut"), F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
     fields = total.select("source", "rows", F.explode(F.array(F.lit("raw_output"), F.lit("prediction"))).alias("field"))
-    out = fields.join(cut, ["source", "field"], "left").join(limits, ["source", "field"], "left")
-    return out.select("source", "field", "rows", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("rows")).alias("rate"), "kinds", F.col("measure").alias("limit_measure"), F.col("max_length").alias("limit_length"))
+    one = limits.groupBy("source", "field").agg(F.max_by(F.struct("measure", "max_length"), F.struct("at_limit", "max_length")).alias("b"), F.count(F.lit(1)).alias("limits")).select("source", "field", "b.*", "limits")
+    out = fields.join(cut, ["source", "field"], "left").join(one, ["source", "field"], "left")
+    return out.select("source", "field", "rows", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("rows")).alias("rate"), "kinds", F.col("measure").alias("limit_measure"), F.col("max_length").alias("limit_length"), F.coalesce("limits", F.lit(0)).alias("limits"))
