@@ -85,7 +85,17 @@ def results(c: Column) -> Column:
 
 def language(c: Column) -> Column:
     """en, de, es, fr or ko by distinct function words and script; null if undecided."""
-    clean = F.regexp_replace(F.coalesce(c, F.lit("")), BOX, " ")
+    clean = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), BOX, " ")
+    return _let(plain_words(clean), lambda ws: language_of(ws, hangul(clean)))
+
+
+def hangul(c: Column) -> Column:
+    """Whether the text has three Korean syllables or more."""
+    return c.rlike(r"(?s)\p{IsHangul}.*\p{IsHangul}.*\p{IsHangul}")
+
+
+def language_of(words: Column, korean: Column) -> Column:
+    """The language of a text's distinct lower-case words; see `language`."""
 
     def pick(score: Column) -> Column:
         best = F.array_max(score)
@@ -96,25 +106,24 @@ def language(c: Column) -> Column:
         hits = [F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, ws)))).alias("n"), F.lit(k).alias("k")) for k, ws in FUNCTION_WORDS.items()]
         return _let(F.array(*hits), pick)
 
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower(clean), r"[^a-zà-öø-ÿß]+", " "), " "))
-    return F.when(F.regexp_count(clean, F.lit(r"\p{IsHangul}")) >= 3, "ko").otherwise(_let(words, latin))
+    return F.when(korean, "ko").otherwise(latin(words))
 
 
 def _bit(c: Column) -> Column:
     return F.when(c.isNull(), "-").when(c, "1").otherwise("0")
 
 
-def letters(c: Column) -> Column:
-    """The language that the letters alone suggest: ko by script, de, es or fr by their own letters, en if all are plain; null without letters."""
-    guess = F.when(F.regexp_count(c, F.lit(r"\p{IsHangul}")) >= 3, "ko")
+def letters(c: Column, korean: Column | None = None) -> Column:
+    """The language that the letters of a lower-case text suggest: ko by script, de, es or fr by their own letters, en if all are plain; null without letters."""
+    guess = F.when(hangul(c) if korean is None else korean, "ko")
     for k, p in LETTERS.items():
         guess = guess.when(c.rlike(p), k)
     return guess.when(c.rlike("[a-z]{3}"), "en")
 
 
 def plain_words(c: Column) -> Column:
-    """Distinct words of letters in lower case, of two letters or more."""
-    return F.filter(F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", " "), " ")), lambda w: F.length(w) > 1)
+    """Distinct words of letters of a lower-case text, boxed results left out."""
+    return F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\boxed\{[^{}]+\}|[^\p{L}]+", " "), " ")), "")
 
 
 def closing_tokens(values: DataFrame, share: float = 0.5) -> list[str]:
@@ -135,7 +144,8 @@ def votes(values: DataFrame, closing: Sequence[str] = ("\\boxed",)) -> DataFrame
     defect its pattern of votes. Functions that need the prompt, the reference's result or a language abstain
     where there is none.
     """
-    first = values.where("record_id IS NOT NULL").select("record_id", "field", _let(_facts(closing), _patterns).alias("v"))
+    base = F.struct(F.coalesce("value", F.lit("")).alias("value"), F.lower(F.coalesce("value", F.lit(""))).alias("low"))
+    first = values.where("record_id IS NOT NULL").select("record_id", "field", _let(base, lambda b: _let(_facts(b, closing), _patterns)).alias("v"))
     out = first.select("record_id", "field", F.when(F.col("field") == "final_answer", "answer").otherwise("response").alias("kind"), "v")
     return out.groupBy("record_id", "field", "kind").agg(F.min("v").alias("v"))
 
@@ -145,18 +155,19 @@ def _let(facts: Column, body) -> Column:
     return F.transform(F.array(facts), body)[0]
 
 
-def _facts(closing: Sequence[str]) -> Column:
+def _facts(b: Column, closing: Sequence[str]) -> Column:
     """What the labelling functions share: the value, its visible part, results, words, language, ending, reference."""
-    short, value, prompt = F.col("field") == "final_answer", F.coalesce("value", F.lit("")), F.coalesce("prompt", F.lit(""))
-    own = F.size(results(F.col("value"))) > 0
-    vis = F.when(own, F.col("value")).otherwise(F.lower(visible(F.col("value"))))
+    short, value, prompt = F.col("field") == "final_answer", b.value, F.coalesce("prompt", F.lit(""))
+    own = F.size(results(value)) > 0
+    vis = F.when(own, value).otherwise(visible(b.low))
     box = F.try_element_at(results(F.col("reference")), F.lit(-1))
     starts = box.startswith(F.trim("value")) & (F.trim("value") != F.trim(box)) & (F.trim("value") != "")
     says = lambda x: F.exists(F.array(*map(F.lit, closing)).cast("array<string>"), lambda t: F.contains(x, t)) if closing else F.lit(False)
     closed = says(value) & F.exists(F.split(value, r"\n"), lambda x: says(x) & ~F.contains(prompt, F.trim(x)))
-    end = F.element_at(F.split(value, BOX), -1)
+    end = F.substring_index(F.substring_index(value, "\\boxed{", -1), "}", -1)
     return F.struct(
         value.alias("value"),
+        b.low.alias("low"),
         F.col("prompt").alias("prompt"),
         F.col("lang_q").alias("lang_q"),
         F.col("letters_q").alias("letters_q"),
@@ -167,8 +178,8 @@ def _facts(closing: Sequence[str]) -> Column:
         own.alias("own"),
         box.alias("box"),
         (short & F.coalesce(starts, F.lit(False))).alias("starts"),
-        F.when(~short, plain_words(F.regexp_replace("value", BOX, " "))).alias("words"),
-        F.when(~short, language(F.col("value"))).alias("lang"),
+        F.when(~short, plain_words(b.low)).alias("words"),
+        hangul(value).alias("korean"),
         closed.alias("closed"),
         F.rtrim(value).rlike(r"[.!?。！？][\"'”’)\]*`]*$|\\boxed\{[^{}]*\}[\s*$`]*$").alias("stopped"),
         F.when(own & ~short, (F.trim(end) != "") & ~F.rtrim(end).rlike(r"[.!?。！？)\]`*$][\"'”’]*$")).otherwise(F.lit(False)).alias("loose"),
@@ -182,7 +193,7 @@ def _patterns(x: Column) -> Column:
     stands_in = x.core.isin(*[p.replace(" ", "") for p in PLACEHOLDERS]) | (~x.short & x.core.rlike(r"^[\p{P}\p{S}]*$")) | x.vis.isin(*slots)
     look = has_q & ~x.own & ~x.starts & (F.length(x.vis) >= F.when(x.short, 12).otherwise(8))
     lines, asked, flat = F.array_distinct(text_lines(x.value)), text_lines(x.prompt), squashed(x.value)
-    plain = F.lower(x.value)
+    plain = x.low
     said = F.lit(False)
     for patterns in REFUSALS.values():
         said = said | plain.rlike("|".join(f"(?:{p})" for p in patterns))
@@ -196,7 +207,8 @@ def _patterns(x: Column) -> Column:
         F.when(x.own, F.lit(False)).otherwise(F.coalesce(said, F.lit(False))).alias("declines"),
         F.when(x.own, F.lit(False)).otherwise(plain.rlike(REGRET)).alias("regrets"),
         shared.alias("shared"),
-        letters(plain).alias("letters"),
+        letters(plain, x.korean).alias("letters"),
+        F.when(~x.short, language_of(x.words, x.korean)).alias("lang"),
         F.length(x.vis).alias("n"),
     )
 
@@ -206,12 +218,12 @@ def _patterns(x: Column) -> Column:
         digits = x.value.rlike(r"\d")
         some = ~y.blank
         long = F.size(x.words) >= 5
-        open_brace = F.regexp_count(x.value, F.lit(r"[{(\[]")) > F.regexp_count(x.value, F.lit(r"[})\]]"))
+        open_brace = F.length(F.translate(x.value, "{([", "")) < F.length(F.translate(x.value, "})]", ""))
         response = {
             "empty": (y.blank, F.when(some, y.stands_in), ~letter, y.n < 8),
             "copied_question": (F.when(has_q, y.all_lines), F.when(has_q, y.inside), F.when(has_q & long, y.shared >= 0.9), F.when(some, ~x.closed)),
             "refusal": (F.when(some, y.declines), F.when(some, y.regrets), F.when(some, ~digits), F.when(some, ~x.closed & (y.n < 200))),
-            "other_language": (F.when(x.lang.isNotNull() & x.lang_q.isNotNull(), x.lang != x.lang_q), F.when(y.letters.isNotNull() & x.letters_q.isNotNull(), (y.letters == "ko") != (x.letters_q == "ko")), F.when(y.letters.isNotNull() & x.letters_q.isNotNull() & long, y.letters != x.letters_q), F.when(long & has_q, y.shared < 0.1)),
+            "other_language": (F.when(y.lang.isNotNull() & x.lang_q.isNotNull(), y.lang != x.lang_q), F.when(y.letters.isNotNull() & x.letters_q.isNotNull(), (y.letters == "ko") != (x.letters_q == "ko")), F.when(y.letters.isNotNull() & x.letters_q.isNotNull() & long, y.letters != x.letters_q), F.when(long & has_q, y.shared < 0.1)),
             "truncated": (F.when(some, ~x.closed), F.when(some, ~x.stopped), F.when(x.own, x.loose), F.when(some, open_brace)),
         }
         given = x.box.isNotNull() & some
@@ -443,6 +455,6 @@ def stacked(df: DataFrame, id_col: str, prompt: str, fields: Sequence[str], refe
     """(record_id, field, prompt, lang_q, letters_q, words_q, value, reference): one row a field of every row."""
     reference = reference or {}
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), (F.col(reference[f]) if f in reference else F.lit(None).cast("string")).alias("reference")) for f in fields])
-    asked = df.select(F.col(id_col).alias("record_id"), F.col(prompt).alias("prompt"), language(F.col(prompt)).alias("lang_q"), letters(F.lower(prompt)).alias("letters_q"), plain_words(F.col(prompt)).alias("words_q"), each.alias("each"))
+    asked = df.select(F.col(id_col).alias("record_id"), F.col(prompt).alias("prompt"), language(F.col(prompt)).alias("lang_q"), letters(F.lower(prompt)).alias("letters_q"), plain_words(F.lower(prompt)).alias("words_q"), each.alias("each"))
     own = ["record_id", "prompt", "lang_q", "letters_q", "words_q"]
     return asked.select(*own, F.explode("each").alias("x")).select("record_id", "x.field", *own[1:], "x.value", "x.reference")
