@@ -44,7 +44,7 @@ class Rooms:
 
 
 def best_fit(lengths: Sequence[int], sources: Sequence[int], clusters: Sequence[int], bars: Mapping[int, int], capacity: int) -> list[int]:
-    """The bin of each piece, pieces taken by falling length (ties: input order).
+    """The bin of each piece, pieces taken by falling length (ties: by cluster, source, input order).
 
     A bin never holds two pieces of one cluster (cluster -1: no twin), nor a piece whose source
     bit is barred by a source in it. `bars` gives for a source the bitmap of the sources it may
@@ -53,16 +53,21 @@ def best_fit(lengths: Sequence[int], sources: Sequence[int], clusters: Sequence[
     rooms, bin_of = Rooms(capacity), [0] * len(lengths)
     source_bits: list[int] = []
     cluster_bits: list[int] = []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    last, resume = None, 0
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], clusters[i], sources[i], i)):
         n, mark = lengths[i], 0 if clusters[i] < 0 else 1 << clusters[i]
         bar, own = bars.get(sources[i], 0), 1 << sources[i]
-        room, at = rooms.from_(n), -1
+        # twins come one after the other: what was too tight or held one for the last holds one for this, too
+        twin = (n, clusters[i], sources[i]) if mark else None
+        start = resume if twin is not None and twin == last else n
+        room, at = rooms.from_(start) if start <= capacity else -1, -1
         while room >= 0:
             held = rooms.bins[room]
             at = next((j for j in range(len(held) - 1, -1, -1) if not cluster_bits[held[j]] & mark and not source_bits[held[j]] & bar), -1)
             if at >= 0:
                 break
             room = rooms.from_(room + 1)
+        last, resume = twin, room if room >= 0 else capacity + 1
         if room < 0:
             bin_ = len(source_bits)
             source_bits.append(0)
@@ -78,7 +83,7 @@ def best_fit(lengths: Sequence[int], sources: Sequence[int], clusters: Sequence[
     return bin_of
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, barred: Sequence[tuple[str, str]] = (), block_items: int = 20_000, max_blocks: int | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, barred: Sequence[tuple[str, str]] = (), block_items: int = 20_000) -> DataFrame:
     """(problem_id, piece, pieces, start, length, bin) for items(problem_id, n_tokens, source, cluster).
 
     An item longer than `capacity` is split into full pieces and a rest; no other item is. An
@@ -89,8 +94,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, barred: Sequence[tuple[str,
     """
     n = items.count()
     blocks = max(1, -(-n // block_items))
-    if max_blocks:
-        blocks = min(blocks, max_blocks)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("problem_id", kind="stable")
@@ -160,3 +163,14 @@ def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return one.withColumns({"fill": F.col("tokens") / F.nullif(F.col("bins") * capacity, F.lit(0)), "least_bins": F.ceil(F.col("tokens") / capacity)})
 
 
+def checks(packed: DataFrame, items: DataFrame, barred: Sequence[tuple[str, str]], capacity: int = CAPACITY) -> DataFrame:
+    """One row: items, tokens, pieces placed, and four counts that must be 0 (see the names)."""
+    p = packed.join(items.select("problem_id", "source", "cluster"), "problem_id")
+    wrong = F.lit(False)
+    for a, b in barred:
+        wrong = wrong | (F.array_contains("s", a) & F.array_contains("s", b))
+    bins = p.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("c"), F.countDistinct("problem_id").alias("i"), F.collect_set("source").alias("s"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    b = bins.agg(count(F.col("used") > capacity).alias("over_capacity"), count(F.col("c") < F.col("i")).alias("with_twins"), count(wrong).alias("with_barred"))
+    t = p.agg(F.countDistinct("problem_id").alias("items"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count("bin").alias("pieces"), (F.count(F.lit(1)) - F.countDistinct("problem_id", "piece")).alias("placed_twice"))
+    return t.join(b).select("items", "tokens", "pieces", "over_capacity", "with_twins", "with_barred", "placed_twice")

@@ -157,8 +157,19 @@ SQL["p2_totals"] = f"""{_P2_SQL} SELECT plan_name, max(records) AS records, max(
 # ---------------------------------------------------------------- P5
 
 
+#: Categories that are variants of one task: a sequence holds items of one of them only.
+VARIANTS = (("equation_numeric", "equation_numeric_symbolic"), ("numeral", "numeral_system"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(settle(packing.lengths(table(spark, d, "token_corpus")), "lengths"))
+    return packing.pack(settle(packing.lengths(table(spark, d, "token_corpus")), "lengths"), barred=VARIANTS)
+
+
+@query
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What every packing must keep: tokens placed, bins beyond capacity, bins with twins or with barred sources, items placed twice."""
+    items = settle(packing.lengths(table(spark, d, "token_corpus")), "lengths")
+    return packing.checks(settle(packing.pack(items, barred=VARIANTS), "packed"), items, VARIANTS)
 
 
 @query
@@ -181,6 +192,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(_packed(spark, d))
 
 
+SQL["p5_checks"] = "SELECT CAST(count(*) AS BIGINT) AS items, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(ceil(n / 8192)) AS BIGINT) AS pieces, 0::BIGINT AS over_capacity, 0::BIGINT AS with_twins, 0::BIGINT AS with_barred, 0::BIGINT AS placed_twice FROM (SELECT problem_id, max(coalesce(len(tokens), 0)) AS n FROM token_corpus WHERE problem_id IS NOT NULL GROUP BY 1)"
 SQL["p5_found"] = "SELECT DISTINCT problem_id FROM token_corpus WHERE len(tokens) > 8192"
 
 

@@ -61,3 +61,32 @@ def test_fill_is_close_to_the_bound(spark):
     items = spark.createDataFrame([(f"p{i}", rng.randint(1, 4000), None, i) for i in range(3000)], "problem_id string, n_tokens long, source string, cluster long")
     r = P.report(P.pack(items)).first()
     assert r.fill > 0.99 and r.bins <= r.least_bins * 1.01 + 1
+
+
+def test_barred_sources_never_meet(spark):
+    rng = random.Random(7)
+    rows = [(f"p{i}", rng.choice(["a", "b", "c", None]), [rng.randint(0, 9) for _ in range(rng.randint(1, 60))], None) for i in range(300)]
+    items = P.lengths(corpus(spark, rows))
+    barred = [("a", "b")]
+    packed = P.pack(items, capacity=100, barred=barred).cache()
+    source = {p: c for p, c, _, _ in rows}
+    bins = defaultdict(set)
+    for r in packed.collect():
+        bins[r.bin].add(source[r.problem_id])
+    assert not any({"a", "b"} <= s for s in bins.values()) and any({"a", "c"} <= s for s in bins.values())
+    got = P.checks(packed, items, barred, 100).first()
+    assert (got.items, got.over_capacity, got.with_twins, got.with_barred, got.placed_twice) == (300, 0, 0, 0, 0)
+    assert P.checks(P.pack(items, capacity=100), items, barred, 100).first().with_barred > 0
+
+
+def test_many_twins_take_one_sweep():
+    n = 30_000
+    bins = P.best_fit([3] * n + [5] * 10, [0] * (n + 10), [0] * n + [-1] * 10, {}, 8)
+    assert len(set(bins[:n])) == n and set(bins[n:]) <= set(bins[:n])
+
+
+def test_blocks_cost_little(spark):
+    rng = random.Random(5)
+    items = spark.createDataFrame([(f"p{i}", rng.randint(1, 4000), None, i) for i in range(6000)], "problem_id string, n_tokens long, source string, cluster long")
+    whole, parts = (P.report(P.pack(items, block_items=k)).first().bins for k in (10_000, 1000))
+    assert whole <= parts <= whole * 1.01 + 6
