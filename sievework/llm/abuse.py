@@ -270,6 +270,34 @@ def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, ep
     return Model(at, model.weights(at), model._bias(), known)
 
 
+def logits(texts: Sequence[Sequence[Sequence[str]]], m: Model, weights: np.ndarray, memo: Hashes) -> np.ndarray:
+    """The score, before the logistic curve, of each text's worst sentence; -inf for a text without sentences.
+
+    The sentences of all texts are laid end to end, so that each kind of feature is one array operation.
+    """
+    worst = np.full(len(texts), -np.inf)
+    sents = [_unmask(list(s), m.known) for t in texts for s in t]
+    if not sents:
+        return worst
+    size = np.array([len(s) for s in sents])
+    t = np.fromiter((memo[w] for s in sents for w in s), dtype=np.uint64, count=int(size.sum()))
+    sid = np.repeat(np.arange(len(sents)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(t))
+    two, three, four = (np.flatnonzero(left > k) for k in (1, 2, 3))
+    with np.errstate(over="ignore"):
+        pair, skip = t[two] * _B + t[two + 1] * _C, t[three] * _D + t[three + 2] * _E
+        x = np.concatenate([t * _A, pair, t[three] * _B + t[three + 1] * _C + t[three + 2] * _D, skip, t[four] * _E + t[four + 3] * _B])
+        x ^= x >> np.uint64(29)
+        x *= _E
+        x ^= x >> np.uint64(32)
+    key = np.unique((np.concatenate([sid, sid[two], sid[three], sid[three], sid[four]]) << BITS) | (x & MASK).astype(np.int64))
+    of, feature = key >> BITS, key & int(MASK)
+    n = np.bincount(of, minlength=len(sents))
+    score_ = np.bincount(of, weights=weights[feature], minlength=len(sents)) / np.sqrt(np.maximum(14, n)) + m.bias
+    np.maximum.at(worst, np.repeat(np.arange(len(texts)), [len(x) for x in texts]), score_)
+    return worst
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most: int = 30_000) -> tuple[list[str], list[int]]:
     """Texts and labels to learn from: at most `most` labelled documents, those of lowest id hash. Of a
     document judged twice the mean decides (a tie counts as harmful); null labels are left out."""
@@ -288,12 +316,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         w, memo = m.dense(), Hashes()
         for b in batches:
             scores = np.zeros(len(b))
-            for k, text in enumerate(b["text"]):
-                best = -30.0
-                for s in sentences(text):
-                    at = grams(np.array([memo[x] for x in _unmask(s, m.known)], dtype=np.uint64))
-                    best = max(best, float(w[at].sum()) * share(at) + m.bias)
-                scores[k] = 0.0 if best <= -30 else 1 / (1 + np.exp(-min(best, 30.0)))
+            for k in range(0, len(b), 500):
+                x = logits([sentences(text) for text in b["text"].iloc[k : k + 500]], m, w, memo)
+                scores[k : k + 500] = np.where(x <= -30, 0.0, 1 / (1 + np.exp(-np.clip(x, -30.0, 30.0))))
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": scores})
 
     return docs.select("doc_id", "text", "source").mapInPandas(run, "doc_id long, source string, score double")
