@@ -316,18 +316,12 @@ def contract_preference_records(spark, d):
     return both.where("chosen_loss > 0 AND rejected_loss > 0")
 
 
-@query(f"SELECT problem_id, CAST(coalesce(list_min(list_filter(range(0, len(tokens) - 3 + 1), lambda i: tokens[i + 1:i + 3] = tokens[2:4])), -1) AS INTEGER) AS at, list_transform(range(0, len(tokens)), lambda i: CASE WHEN i >= 5 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS tail FROM {_T} WHERE len(tokens) BETWEEN 4 AND 400")
-def token_search(spark, d):
-    t = corpus(spark, d).where("size(tokens) BETWEEN 4 AND 400")
-    return t.select("problem_id", T.find(F.col("tokens"), F.slice("tokens", 2, 3)).alias("at"), T.tail_weights(F.col("tokens"), F.lit(5), 3.0).alias("tail"))
-
-
 @query(f"""WITH t AS (SELECT problem_id, tokens, tokens[2:4] AS w FROM {_T}), p AS (SELECT problem_id, w, unnest(tokens) AS x, unnest(range(len(tokens))) AS i FROM t),
 n AS (SELECT problem_id, w, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY problem_id ORDER BY i)),
 f AS (SELECT problem_id, min(i) AS i FROM n WHERE len(w) > 0 AND x = w[1] AND (len(w) < 2 OR y = w[2]) AND (len(w) < 3 OR z = w[3]) GROUP BY 1)
 SELECT problem_id, CAST(coalesce(f.i, -1) AS INTEGER) AS at FROM t LEFT JOIN f USING (problem_id)""")
 def token_positions(spark, d):
-    """token_search over every item: where its second to fourth token first stand. Items of two or three tokens look
+    """Every item: where its second to fourth token first stand. Items of two or three tokens look
     for the ones they have behind the first; those of fewer have nothing to look for and give -1."""
     return corpus(spark, d).select("problem_id", T.find(F.col("tokens"), F.slice("tokens", 2, 3)).alias("at"))
 
@@ -471,12 +465,6 @@ def seeded_draw(spark, d):
     return O.draw(table(spark, d, "rsp_anchor_sft").select("id").distinct(), "id", 500, 43)
 
 
-@query("""WITH r AS (SELECT id, coalesce(domain, 'unknown') AS domain, row_number() OVER (PARTITION BY coalesce(domain, 'unknown') ORDER BY md5(concat_ws('|', '7', id)), id) AS rn FROM (SELECT DISTINCT id, domain FROM rsp_anchor_sft WHERE domain IN ('cipher', 'gravity', 'numeral', 'cryptarithm'))), q AS (SELECT domain, 101 // 4 + CAST(row_number() OVER (ORDER BY domain) <= 101 % 4 AS INTEGER) AS q FROM (SELECT DISTINCT domain FROM r)) SELECT id, domain FROM r JOIN q USING (domain) WHERE rn <= q""")
-def stratified_draw(spark, d):
-    t = table(spark, d, "rsp_anchor_sft").where("domain IN ('cipher', 'gravity', 'numeral', 'cryptarithm')").select("id", "domain").distinct()
-    return O.stratified(t, "domain", "id", 101, 7).select("id", "domain")
-
-
 @query(f"""WITH r AS (SELECT id, domain, row_number() OVER (PARTITION BY domain ORDER BY md5(concat_ws('|', '7', id)), id) AS rn, dense_rank() OVER (ORDER BY domain) AS g FROM (SELECT id, {_folded('domain')} AS domain FROM {_F('rsp_anchor_sft')} WHERE id <> '')), n AS (SELECT max(g) AS n FROM r)
 SELECT id, domain FROM r, n WHERE rn <= 101 // n + CAST(g <= 101 % n AS INTEGER)""")
 def stratified_domains(spark, d):

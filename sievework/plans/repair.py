@@ -60,7 +60,7 @@ UNION ALL SELECT id, 'equation_replay', 0 FROM {_draw_sql(f"category = 'equation
 UNION ALL SELECT id, 'bit_replay', 0 FROM {_draw_sql(f"category = 'bit_manipulation' AND {_R} AND NOT ({_LACK})", 24, 42)})""")
 def correction_set(spark, d):
     """Wrong equations six times, drifted bit tasks eight times, and 24 right ones of each that are not used yet."""
-    p = preds(spark, d)
+    p = preds(spark, d, "category", "exact_match", "raw_output")
     drift = drifted(p.where("category = 'bit_manipulation'"))
     replay = J.unused(right(p, "bit_manipulation"), drift, "id")
     rows = _grouped([("equation_wrong", wrong(p, "equation_numeric"), 6), ("bit_drift", drift, 8), ("equation_replay", O.draw(right(p, "equation_numeric"), "id", 24, 42), 1), ("bit_replay", O.draw(replay, "id", 24, 42), 1)])
@@ -73,7 +73,7 @@ SELECT *, 'wrong' AS mix_group, CAST(unnest(range(3)) AS INTEGER) AS repeat_inde
 UNION ALL SELECT *, 'replay', 0 FROM {_draw_sql(f"category = 'equation_numeric' AND {_R}", 18, 7)}) WHERE answer IS NOT NULL)""")
 def teacher_set(spark, d):
     """Wrong rows three times and 18 replays, each with its first verified reply."""
-    p = preds(spark, d)
+    p = preds(spark, d, "category", "exact_match", "raw_output", "reference_response", "answer")
     bad = wrong(p).where(F.col("category").isin("equation_numeric", "bit_manipulation"))
     rows = _grouped([("wrong", bad, 3), ("replay", O.draw(right(p, "equation_numeric"), "id", 18, 7), 1)]).where("answer IS NOT NULL")
     reply = C.teacher_reply(F.col("reference_response"), F.col("raw_output"), F.col("exact_match"), F.col("answer"), F.col("category"))
@@ -89,7 +89,7 @@ UNION ALL SELECT id, 'guard', 0 FROM (SELECT id, row_number() OVER (PARTITION BY
 UNION ALL SELECT id, 'guard', 0 FROM {_draw_sql(f"category = 'equation_numeric' AND {_R}", 8, 11)})""")
 def guarded_replay(spark, d):
     """Train rows (wrong x4, 12 right) and guard rows (8 per old category, 8 of the same right ones, which overlap by design)."""
-    p = preds(spark, d)
+    p = preds(spark, d, "category", "exact_match")
     old = right(p).where(F.col("category").isin("cipher", "gravity", "numeral", "unit_conversion"))
     eq = right(p, "equation_numeric")
     train = _grouped([("train", wrong(p, "equation_numeric"), 4), ("train", O.draw(eq, "id", 12, 11), 1)])
@@ -100,7 +100,7 @@ def guarded_replay(spark, d):
 @query(f"""SELECT id, CAST(unnest(range(2)) AS INTEGER) AS repeat_index, E'S4: APPLY target\\nresult = ' || w || E'\\n</think>\\n\\\\boxed{{' || w || '}}<|im_end|>' AS rejected_response FROM (SELECT id, CASE WHEN {_TRIM("coalesce(prediction, '')")} = '' THEN 'NOT_FOUND' ELSE {_TRIM('prediction')} END AS w FROM {_P} WHERE category = 'equation_numeric' AND {_W} AND answer IS NOT NULL)""")
 def preference_pairs(spark, d):
     """Wrong equations twice, with the reply to prefer and the one to reject; a pair with equal sides would teach nothing."""
-    rows = O.repeated(wrong(preds(spark, d), "equation_numeric").where("answer IS NOT NULL"), 2, 1)
+    rows = O.repeated(wrong(preds(spark, d, "category", "exact_match", "answer", "prediction", "reference_response"), "equation_numeric").where("answer IS NOT NULL"), 2, 1)
     pair = rows.select("id", "repeat_index", C.apply_reply(F.col("reference_response"), F.col("answer")).alias("chosen_response"), C.rejected_reply(F.col("prediction")).alias("rejected_response"))
     return pair.select("id", "repeat_index", "rejected_response")
 
@@ -118,7 +118,7 @@ def branch_targets(spark, d):
 @query(f"""SELECT id, mix_group FROM (SELECT id, CASE WHEN {_W} THEN 'fisher_wrong' ELSE 'fisher_guard' END AS mix_group, row_number() OVER (PARTITION BY category, {_W} ORDER BY md5(concat_ws('|', '1051', id)), id) AS rn FROM {_P} WHERE category IN {_OLD}) WHERE rn <= 6""")
 def fisher_rows(spark, d):
     """Six rows of each old category and outcome, for an importance estimate; the seed is set off from that of the training draw."""
-    p = preds(spark, d).where(F.col("category").isin("cipher", "gravity", "numeral", "unit_conversion")).withColumn("bad", F.coalesce("exact_match", F.lit(0)) == 0)
+    p = preds(spark, d, "category", "exact_match").where(F.col("category").isin("cipher", "gravity", "numeral", "unit_conversion")).withColumn("bad", F.coalesce("exact_match", F.lit(0)) == 0)
     few = O.top_per_group(p.select("id", "category", "bad").withColumn("k", O.draw_key(42 + 1009, "id")), ["category", "bad"], ["k", "id"], 6)
     return few.select("id", F.when(F.col("bad"), "fisher_wrong").otherwise("fisher_guard").alias("mix_group"))
 
@@ -168,14 +168,6 @@ def preferred_values(spark, d):
     return J.by_priority(ids, "id", [first, second], "v")
 
 
-@query(f"SELECT id FROM {_P} WHERE category = 'equation_numeric' AND starts_with(problem_id, 'equation_numeric_0085') AND length(prompt) <= 260")
-def category_prefix_rows(spark, d):
-    """Rows of a category and id prefix whose prompt keeps a length limit. All deliveries of an id are alike, so
-    the filters stand before the de-duplication and reach the scan."""
-    rows = table(spark, d, "eval_prediction").where("category = 'equation_numeric' AND startswith(problem_id, 'equation_numeric_0085') AND length(prompt) <= 260")
-    return rows.where("id <> ''").select("id").distinct()
-
-
 def matching(rows: DataFrame, *predicates: Column) -> DataFrame:
     """The rows that meet every predicate of the caller (category, id prefix, prompt length, ...); an error if none does."""
     for p in predicates:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievework.functions.answers import clean, final_answer, verified
+from sievework.operators import order as O
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -30,8 +31,9 @@ def live(stream: DataFrame, out: str, checkpoint: str, order: str = "idx") -> St
             if number > 0:
                 r = spark.read.parquet(f"{out}/running/batch={number - 1}").first()
                 past = (r.seen, r.correct)
-            w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-            each = rows.withColumn("running_accuracy", (F.lit(past[1]) + F.sum("exact_match").over(w)) / (F.lit(past[0]) + F.count(F.lit(1)).over(w)))
+            # a backlog may be one batch, so the totals run over range partitions
+            upto = O.running(O.numbered(rows, [order], "_seen"), [order], F.col("exact_match"), "_correct")
+            each = upto.withColumn("running_accuracy", (F.lit(past[1]) + F.col("_correct")) / (F.lit(past[0]) + F.col("_seen"))).drop("_seen", "_correct")
             each.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{out}/rows/batch={number}")
             flat = [F.col(c) if not t.startswith(("array", "struct", "map")) else F.to_json(c).alias(c) for c, t in each.dtypes]
             each.select(*flat).write.mode("overwrite").option("header", True).csv(f"{out}/csv/batch={number}")
