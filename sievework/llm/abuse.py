@@ -3,7 +3,8 @@
 Texts are cut into sentences and freed of disguises (look-alike letters, leet signs, spaced or
 masked letters, broken encoding). Features are hashed word n-grams and skip-grams. The model
 learns from documents' labels which of their sentences carry them; L1 leaves few weights, which
-are broadcast. A document's score is that of its worst sentence.
+are broadcast. A document's score is that of its worst sentence. Labelled documents of any number
+are learned in shards, and the shards' weights are averaged.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.names import snake
+from sievework.runtime import settle
 
 BITS = 22
 MASK = np.uint64((1 << BITS) - 1)
@@ -178,12 +180,14 @@ class Ftrl:
 
 @dataclass
 class Model:
-    """Sparse weights (sorted feature numbers and their weights), bias, words of bad sentences for masks."""
+    """Sparse weights (sorted feature numbers and their weights), bias, words of bad sentences for masks; after
+    training also the features that were seen, most of which have no weight."""
 
     at: np.ndarray
     weight: np.ndarray
     bias: float
     known: dict[int, list[str]]
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
     def dense(self) -> np.ndarray:
         w = np.zeros(1 << BITS, dtype=np.float32)
@@ -267,7 +271,23 @@ def train(texts: Sequence[str | None], labels: Sequence[int], folds: int = 3, ep
     fine = (everything - bad - rejected) - {s for s, n in suspect.items() if n == folds}
     model, known, _ = fit(bad, fine, epochs)
     at = np.flatnonzero(np.abs(model.z) > model.l1)
-    return Model(at, model.weights(at), model._bias(), known)
+    return Model(at, model.weights(at), model._bias(), known, np.flatnonzero(model.n > 0))
+
+
+def merged(models: Iterable[Model]) -> Model:
+    """One model of those of several shards: a feature's weight is the mean over the shards that saw it, so that
+    wording that only one shard holds counts as much as there; the bias is the mean. The models are read once."""
+    total, saw, bias, votes, n = np.zeros(1 << BITS), np.zeros(1 << BITS, dtype=np.int32), 0.0, Counter(), 0
+    for m in models:
+        total[m.at] += m.weight
+        saw[m.seen] += 1
+        bias, n = bias + m.bias, n + 1
+        votes.update(w for ws in m.known.values() for w in ws)
+    known: dict[int, list[str]] = {}
+    for w in sorted(votes, key=lambda w: (-votes[w], w)):
+        known.setdefault(len(w), []).append(w)
+    at = np.flatnonzero(total)
+    return Model(at, total[at] / np.maximum(saw[at], 1), bias / max(n, 1), known)
 
 
 def logits(texts: Sequence[Sequence[Sequence[str]]], m: Model, weights: np.ndarray, memo: Hashes) -> np.ndarray:
@@ -298,15 +318,52 @@ def logits(texts: Sequence[Sequence[Sequence[str]]], m: Model, weights: np.ndarr
     return worst
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = 30_000) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: at most `most` labelled documents, those of lowest id hash. Of a
-    document judged twice the mean decides (a tie counts as harmful); null labels are left out."""
+def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, text, y): every distinct text that is labelled, once, under its lowest id. Of a document judged twice, and
+    of a text that several documents hold, the mean decides (a tie counts as harmful); null labels are left out.
+
+    Copies count once, as training tells a rare wording by the number of documents that hold it.
+    """
     one = labels.where("doc_id IS NOT NULL AND harmful IS NOT NULL").groupBy("doc_id").agg((F.avg("harmful") >= 0.5).cast("int").alias("y"))
-    few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("doc_id").select("text", "y").toPandas()
+    return docs.select("doc_id", "text").join(one, "doc_id").groupBy("text").agg(F.min("doc_id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y")).select("id", "text", "y")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
+    """Texts and labels of `examples`, in order of id, for tables that the driver can hold."""
+    rows = examples(docs, labels).orderBy("id").toPandas()
     return rows["text"].tolist(), [int(y) for y in rows["y"]]
 
 
+def learn(docs: DataFrame, labels: DataFrame, shard: int = 10_000) -> Model:
+    """The model of all labelled documents. Shards of about `shard` texts are learned by tasks of their own, each as
+    `train` does it, whose counts of documents are meant for shards of this size; see `merged` for their union."""
+    rows = settle(examples(docs, labels), "labelled")
+    shards = math.ceil(rows.count() / shard)
+    if not shards:
+        return train([], [])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        m = train(group["text"].tolist(), group["y"].tolist())
+        saw = np.zeros(1 << BITS, dtype=bool)
+        saw[m.seen] = True
+        known = [w for k in sorted(m.known) for w in m.known[k]]
+        return pd.DataFrame({"at": [m.at.astype(np.int32).tobytes()], "weight": [m.weight.astype(np.float32).tobytes()], "bias": [float(m.bias)], "known": [known], "seen": [np.packbits(saw).tobytes()]})
+
+    # more tasks than shards, so that few tasks get two
+    parts = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).repartition(4 * shards, "shard")
+    parts = settle(parts.groupBy("shard").applyInPandas(run, "at binary, weight binary, bias double, known array<string>, seen binary"), "models")
+
+    def models() -> Iterator[Model]:
+        for r in parts.toLocalIterator():  # the driver holds one shard's model at a time
+            known: dict[int, list[str]] = {}
+            for w in r.known:
+                known.setdefault(len(w), []).append(w)
+            yield Model(np.frombuffer(r.at, np.int32), np.frombuffer(r.weight, np.float32), r.bias, known, np.flatnonzero(np.unpackbits(np.frombuffer(r.seen, np.uint8))))
+
+    return merged(models())
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, source, score) of every row of docs(doc_id, text, source); a text without words scores 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # L1 leaves some thousand weights, 2**BITS at most

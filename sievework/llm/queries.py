@@ -324,7 +324,7 @@ HARMFUL = 0.46
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    return abuse.score(spread(docs), abuse.train(*abuse.labelled(docs, table(spark, d, "doc_label"))))
+    return abuse.score(spread(docs), abuse.learn(docs, table(spark, d, "doc_label")))
 
 
 @query
