@@ -365,27 +365,89 @@ def texts(rows: DataFrame) -> DataFrame:
     return rows.where("key IS NOT NULL AND prompt IS NOT NULL").select("key", "prompt").mapInPandas(run, f"key string, {_TEXT}")
 
 
-def _pieces() -> Column:
-    """Hashes of a text's distinct windows, sorted."""
-    ws = F.split("body", WORD)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - F.col("size") + 1)), lambda k: F.xxhash64(F.array_join(F.slice(ws, k, F.col("size")), WORD)))
-    return F.array_sort(F.array_distinct(F.when(F.col("size") == 1, F.transform(ws, lambda x: F.xxhash64(x))).otherwise(runs)))
+def leading(places: list[list[int]], size: int, n: int, share: float) -> int:
+    """How many of a text's windows, in the order given, must be looked up so that no text that covers `share` of its
+    n words is missed: as many as leave less than this share to those behind. `places` are each window's starts."""
+    cover = np.zeros(n, dtype=np.int64)
+    for at in places:
+        for a in at:
+            cover[a : a + size] += 1
+    left, least = int((cover > 0).sum()), (share - 1e-9) * n
+    for k, at in enumerate(places):
+        if left < least:
+            return k
+        for a in at:
+            cover[a : a + size] -= 1
+            left -= int((cover[a : a + size] == 0).sum())
+    return len(places)
+
+
+def runs(words: list[str], share: float, whole_only: bool) -> Iterator[tuple[str, list[int], bool]]:
+    """(run of words, its starts, alone): the windows of a plain text, and, `alone`, the runs shorter than a window that
+    are a whole training text (`whole_only`) or that cover `share` of an evaluation text by themselves."""
+    n = len(words)
+    for size in range(1, WINDOW + 1):
+        if size > n or (whole_only and size < min(n, WINDOW)):
+            continue
+        at: dict[str, list[int]] = {}
+        for k in range(n - size + 1):
+            at.setdefault(WORD.join(words[k : k + size]), []).append(k)
+        for run, starts in at.items():
+            if size == WINDOW or covered(np.array(starts), size, n)[0] >= (share - 1e-9) * n:
+                yield run, starts, size < WINDOW
+
+
+def _windows(plain: DataFrame, share: float, whole_only: bool) -> DataFrame:
+    """(text, words, route, at, alone) for the `runs` of plain texts; `route` is a run's hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            for k in range(0, len(b), 200):
+                out = []
+                for text, n, body in zip(b["text"].iloc[k : k + 200], b["words"].iloc[k : k + 200], b["body"].iloc[k : k + 200], strict=True):
+                    out.extend((text, n, xxhash.xxh64_intdigest(r) - (1 << 63), at, alone) for r, at, alone in runs(body.split(WORD), share, whole_only))
+                yield pd.DataFrame(out, columns=["text", "words", "route", "at", "alone"])
+
+    return plain.select("text", "words", "body").mapInPandas(run, "text string, words int, route long, at array<int>, alone boolean")
+
+
+def _leading(windows_: DataFrame, both: DataFrame, share: float) -> DataFrame:
+    """(text, route): for each text its `leading` windows among those that both sides have, rare ones first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple[str, int]] = []
+            for text, n, routes, places in zip(b["text"], b["words"], b["routes"], b["places"], strict=True):
+                out.extend((text, r) for r in routes[: leading([list(x) for x in places], WINDOW, n, share)])
+            yield pd.DataFrame(out, columns=["text", "route"])
+
+    kept = windows_.where("NOT alone").join(both, "route").groupBy("text", "words").agg(F.array_sort(F.collect_list(F.struct("n", "route", "at"))).alias("w"))
+    return kept.select("text", "words", F.col("w.route").alias("routes"), F.col("w.at").alias("places")).mapInPandas(run, "text string, route long")
+
+
+def routed(t: DataFrame) -> DataFrame:
+    """The puzzles with the hash `route` of the lines that send them to shards, their two lowest: two puzzles that each
+    lack at most one line of the other share the lowest hash of their common lines among these, so none is missed."""
+    lines = F.array_sort(F.array_distinct(F.transform(F.split("body", WORD), lambda x: F.xxhash64(x))))
+    return t.where("size = 1").select("text", "size", "words", "body", F.explode(F.slice(lines, 1, 2)).alias("route"))
 
 
-def routed(t: DataFrame, common: DataFrame, plain_routes: int = 16) -> DataFrame:
-    """The texts with the hash `route` of the windows that send them to shards.
+def visited(train: DataFrame, held: DataFrame, share: float, shard: Column) -> DataFrame:
+    """(text, shard): the shards, of evaluation texts in `shard`, that each plain training text must visit; none that
+    may hold a pair is left out.
 
-    A puzzle goes by its two lowest hashes: two puzzles that each lack at most one line of the other share the
-    lowest hash of their common lines among these, so none is missed. A plain text goes by its `plain_routes`
-    lowest hashes, windows that many evaluation texts have (`common`) behind the others; texts that share four
-    fifths of their words miss each other with a chance of about 0.5 ** plain_routes, or less.
+    Windows are put in one order for both sides, rare ones first. The first window in it that a pair shares is among
+    the `leading` ones of either text, as those behind cover too little of it. A training text shorter than a window
+    is looked up whole.
     """
-    p = t.withColumn("pieces", _pieces())
-    short = p.where("size = 1").select("text", "size", "words", "body", F.explode(F.slice("pieces", 1, 2)).alias("route"))
-    plain = p.where("size > 1").select("text", F.explode("pieces").alias("route"))
-    ranked = plain.join(common.select("route", F.lit(1).alias("hot")), "route", "left").groupBy("text").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(0)).alias("hot"), "route"))), 1, plain_routes).alias("r"))
-    long = t.where("size > 1").join(ranked, "text").select("text", "size", "words", "body", F.explode("r.route").alias("route"))
-    return short.union(long)
+    t, h = settle(_windows(train, share, True), "train_windows"), settle(_windows(held, share, False), "held_windows")
+    many = lambda w: w.where("NOT alone").groupBy("route").agg(F.count(F.lit(1)).alias("k"))
+    both = settle(many(t).join(many(h).withColumnRenamed("k", "m"), "route").select("route", (F.col("k") + F.col("m")).alias("n")), "windows")
+    alone = lambda w: w.where("alone").select("text", "route")
+    places = _leading(h, both, share).union(alone(h)).select("route", shard.alias("shard")).distinct()
+    return _leading(t, both, share).union(alone(t)).join(places, "route").select("text", "shard").distinct()
 
 
 def match(train: DataFrame, held: DataFrame, share: float = 0.8, shard_mb: float = 1.0, block: int = 20_000, often: int = 1000) -> DataFrame:
@@ -395,17 +457,23 @@ def match(train: DataFrame, held: DataFrame, share: float = 0.8, shard_mb: float
     side lacks at most one, with at least one in common. Plain texts: maximal matches of five words or more cover
     at least `share` of the words of both. A shard is the texts of some routes; one of more than `shard_mb` of held
     text is cut into blocks, each an index of its own that all of the shard's training texts visit; one of more than
-    `block` training texts is searched by several tasks.
+    `block` training texts is searched by several tasks. A plain evaluation text stands in one shard, see `visited`.
+    `often` has no effect any more, as windows are ordered by their exact counts.
     """
     held, train = settle(held, "held"), settle(train, "train")
-    plain = held.where("size > 1").select(F.explode(_pieces()).alias("route"))
-    common = settle(plain.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often), "common")
-    h, t = settle(routed(held, common), "held_routes"), settle(routed(train, common), "train_routes")
-    total = h.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    h, t = settle(routed(held), "held_routes"), settle(routed(train), "train_routes")
+    plain_h, plain_t = held.where("size > 1"), train.where("size > 1")
+    total = (h.agg(F.sum(F.octet_length("body"))).first()[0] or 0) + (plain_h.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
     shards = max(1, math.ceil(total / (shard_mb * 1e6)))
-    shard = lambda: F.pmod("route", F.lit(shards)).cast("int").alias("shard")
-    blocks = h.groupBy(shard()).agg(F.ceil(F.sum(F.octet_length("body")) / F.lit(2e6 * shard_mb)).cast("int").alias("blocks"))
-    salts = t.groupBy(shard()).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts"))
+    own = ["text", "size", "words", "body"]
+    shard = lambda by: F.pmod(by, F.lit(shards)).cast("int").alias("shard")
+    h, t = h.select(*own, shard("route")), t.select(*own, shard("route"))
+    if not plain_h.isEmpty() and not plain_t.isEmpty():
+        home = shard(F.xxhash64("text"))
+        h = h.union(plain_h.select(*own, home))
+        t = t.union(plain_t.join(settle(visited(plain_t, plain_h, share, home), "visits"), "text").select(*own, "shard"))
+    blocks = h.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("body")) / F.lit(2e6 * shard_mb)).cast("int").alias("blocks"))
+    salts = t.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("salts"))
     plan = settle(blocks.join(salts, "shard"), "shards")
     tasks = max(1, min(100_000, 4 * shards))  # more than shards, so that few tasks get two
 
@@ -416,11 +484,11 @@ def match(train: DataFrame, held: DataFrame, share: float = 0.8, shard_mb: float
         index = Index([b.encode() for b in bodies], reach)
         return pd.DataFrame({"shard": [group["shard"].iloc[0]], "block": [group["block"].iloc[0]], "index": [pickle.dumps(index, 5)], "owners": [group["text"].tolist()], "sizes": [group["words"].astype("int32").tolist()]})
 
-    parts = h.withColumn("shard", shard()).join(plan.select("shard", "blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
+    parts = h.join(plan.select("shard", "blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
     indexes = parts.select("shard", "block", "text", "size", "words", "body").repartition(tasks, "shard", "block").groupBy("shard", "block").applyInPandas(build, "shard int, block int, index binary, owners array<string>, sizes array<int>")
     indexes = settle(indexes, "index")
-    visits = t.withColumn("shard", shard()).join(plan, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("salt", F.pmod(F.xxhash64("text"), F.col("salts")).cast("int"))
-    visits = visits.select("shard", "block", "salt", "text", "size", "words", "body", "route")
+    visits = t.join(plan, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("salt", F.pmod(F.xxhash64("text"), F.col("salts")).cast("int"))
+    visits = visits.select("shard", "block", "salt", *own)
     copies = indexes.join(plan.select("shard", "salts"), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     names = ["train_text", "held_text", "matched", "train_words", "held_words", "train_covered", "held_covered", "longest"]
 
