@@ -110,7 +110,7 @@ def language_of(words: Column, korean: Column) -> Column:
 
 
 def _bit(c: Column) -> Column:
-    return F.when(c.isNull(), "-").when(c, "1").otherwise("0")
+    return F.coalesce(c.cast("int").cast("string"), F.lit("-"))  # c is computed once
 
 
 def letters(c: Column, korean: Column | None = None) -> Column:
@@ -145,7 +145,7 @@ def votes(values: DataFrame, closing: Sequence[str] = ("\\boxed",)) -> DataFrame
     where there is none.
     """
     base = F.struct(F.coalesce("value", F.lit("")).alias("value"), F.lower(F.coalesce("value", F.lit(""))).alias("low"))
-    first = values.where("record_id IS NOT NULL").select("record_id", "field", _let(base, lambda b: _let(_facts(b, closing), _patterns)).alias("v"))
+    first = values.where("record_id IS NOT NULL").select("record_id", "field", _let(base, lambda b: _let(_seen(b), lambda s: _let(_facts(s, closing), _patterns))).alias("v"))
     out = first.select("record_id", "field", F.when(F.col("field") == "final_answer", "answer").otherwise("response").alias("kind"), "v")
     return out.groupBy("record_id", "field", "kind").agg(F.min("v").alias("v"))
 
@@ -155,12 +155,17 @@ def _let(facts: Column, body) -> Column:
     return F.transform(F.array(facts), body)[0]
 
 
+def _seen(b: Column) -> Column:
+    """What the facts are made of: whether the value has results, its visible part, the reference's last result."""
+    short = F.col("field") == "final_answer"
+    box = F.try_element_at(results(F.col("reference")), F.lit(-1))
+    known = F.struct(b.alias("b"), (F.size(results(b.value)) > 0).alias("own"))
+    return _let(known, lambda k: F.struct(k.b.value.alias("value"), k.b.low.alias("low"), short.alias("short"), k.own.alias("own"), F.when(k.own, k.b.value).otherwise(visible(k.b.low)).alias("vis"), box.alias("box")))
+
+
 def _facts(b: Column, closing: Sequence[str]) -> Column:
     """What the labelling functions share: the value, its visible part, results, words, language, ending, reference."""
-    short, value, prompt = F.col("field") == "final_answer", b.value, F.coalesce("prompt", F.lit(""))
-    own = F.size(results(value)) > 0
-    vis = F.when(own, value).otherwise(visible(b.low))
-    box = F.try_element_at(results(F.col("reference")), F.lit(-1))
+    short, value, prompt, own, vis, box = b.short, b.value, F.coalesce("prompt", F.lit("")), b.own, b.vis, b.box
     starts = box.startswith(F.trim("value")) & (F.trim("value") != F.trim(box)) & (F.trim("value") != "")
     says = lambda x: F.exists(F.array(*map(F.lit, closing)).cast("array<string>"), lambda t: F.contains(x, t)) if closing else F.lit(False)
     closed = says(value) & F.exists(F.split(value, r"\n"), lambda x: says(x) & ~F.contains(prompt, F.trim(x)))
@@ -218,7 +223,7 @@ def _patterns(x: Column) -> Column:
         digits = x.value.rlike(r"\d")
         some = ~y.blank
         long = F.size(x.words) >= 5
-        open_brace = F.length(F.translate(x.value, "{([", "")) < F.length(F.translate(x.value, "})]", ""))
+        open_brace = F.length(F.regexp_replace(x.value, r"[^{(\[]+", "")) > F.length(F.regexp_replace(x.value, r"[^})\]]+", ""))
         response = {
             "empty": (y.blank, F.when(some, y.stands_in), ~letter, y.n < 8),
             "copied_question": (F.when(has_q, y.all_lines), F.when(has_q, y.inside), F.when(has_q & long, y.shared >= 0.9), F.when(some, ~x.closed)),
